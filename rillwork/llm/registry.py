@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdedup, languageid
+from . import exactdedup, languageid, neardup
 from .frames import table
 
 
@@ -19,9 +19,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.drop_exact_copies(table(spark, sf_dir, "documents"), exactdedup.earlier_half())
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_pairs(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op6_exact_dedup)}
+    return {f.__name__: f for f in (op3_language_id, op6_exact_dedup, op9_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exactdedup.DEDUP_SQL}
+    return {"op6_exact_dedup": exactdedup.DEDUP_SQL, "op9_ngram_jaccard_join": neardup.pairs_sql()}
