@@ -1,23 +1,52 @@
-"""The corpus pipeline: language ID, exact dedup, near dedup, mixing, packing; each stage's result is written and read again."""
+"""The corpus pipeline: language ID, exact dedup, near dedup, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's
+docs. Rejected documents, copies, near copies and what the mixture leaves out are gone for all later stages. The last stage
+says where each piece of each remaining document is packed; the others return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from rillwork.llm import exactdedup, languageid
+from rillwork.llm import exactdedup, languageid, mixing, neardup, packing
+from rillwork.llm.frames import DOCUMENT_COLUMNS, shared_folder, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return languageid.keep_identified(docs)
+    return languageid.keep_identified(docs).select(DOCUMENT_COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exactdedup.drop_exact_copies(docs, exactdedup.earlier_half())
+    return exactdedup.drop_exact_copies(docs, exactdedup.earlier_half()).select(DOCUMENT_COLUMNS)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep_one_of_similar(docs).select(DOCUMENT_COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(docs).select(DOCUMENT_COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
 
+STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("mix_sources", mix), ("pack", pack)]
 
-STAGES = [("language_id", language), ("exact_dedup", exact)]
+#: Language ID and the local search of packing can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages on the table documents; their results lie in the shared folder of the session."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdedup, languageid, neardup
+from . import exactdedup, languageid, mixing, neardup, packing
 from .frames import table
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = languageid.identify_languages(table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "lang", "predicted_lang", "cross_entropy", "margin", "n_scored", "accepted")
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.drop_exact_copies(table(spark, sf_dir, "documents"), exactdedup.earlier_half())
 
@@ -24,8 +32,8 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op6_exact_dedup, op9_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_language_id, op5_mix_sources, op6_exact_dedup, op9_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exactdedup.DEDUP_SQL, "op9_ngram_jaccard_join": neardup.pairs_sql()}
+    return {"op5_mix_sources": mixing.mix_sql(), "op6_exact_dedup": exactdedup.DEDUP_SQL, "op9_ngram_jaccard_join": neardup.pairs_sql()}
