@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdedup, languageid, mixing, neardup, packing
+from . import exactdedup, languageid, linededup, mixing, neardup, packing, sharding
 from .frames import table
 
 
@@ -14,6 +14,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.drop_frequent_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = languageid.identify_languages(table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "lang", "predicted_lang", "cross_entropy", "margin", "n_scored", "accepted")
@@ -27,13 +31,17 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.drop_exact_copies(table(spark, sf_dir, "documents"), exactdedup.earlier_half())
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shuffle_to_shards(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_language_id, op5_mix_sources, op6_exact_dedup, op9_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_language_id, op5_mix_sources, op6_exact_dedup, op8_sharding, op9_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": mixing.mix_sql(), "op6_exact_dedup": exactdedup.DEDUP_SQL, "op9_ngram_jaccard_join": neardup.pairs_sql()}
+    return {"op2_line_dedup": linededup.line_sql(), "op5_mix_sources": mixing.mix_sql(), "op6_exact_dedup": exactdedup.DEDUP_SQL, "op9_ngram_jaccard_join": neardup.pairs_sql()}
