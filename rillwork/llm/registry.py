@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdedup, languageid, linededup, mixing, neardup, packing, sharding
+from . import exactdedup, languageid, linededup, matroska, mixing, neardup, packing, sharding
 from .frames import table
 
 
@@ -39,9 +39,15 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, sf_dir, "documents"))
 
 
+def op10_matroska_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    movies = matroska.with_text_movies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    packets = matroska.packet_table(movies.select("doc_id", "media"), digest=True)
+    return packets.select("doc_id", "track", "packet", "timestamp_ns", "size", "md5", "cued")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_language_id, op5_mix_sources, op6_exact_dedup, op8_sharding, op9_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_language_id, op5_mix_sources, op6_exact_dedup, op8_sharding, op9_ngram_jaccard_join, op10_matroska_packets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": linededup.line_sql(), "op5_mix_sources": mixing.mix_sql(), "op6_exact_dedup": exactdedup.DEDUP_SQL, "op9_ngram_jaccard_join": neardup.pairs_sql()}
+    return {"op2_line_dedup": linededup.line_sql(), "op5_mix_sources": mixing.mix_sql(), "op6_exact_dedup": exactdedup.DEDUP_SQL, "op9_ngram_jaccard_join": neardup.pairs_sql(), "op10_matroska_packets": matroska.MOVIE_SQL}
