@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdedup, languageid, linededup, matroska, mixing, neardup, packing, sharding
+from . import exactdedup, hmm, languageid, linededup, matroska, mixing, neardup, packing, sharding
 from .frames import table
 
 
@@ -23,6 +23,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "lang", "predicted_lang", "cross_entropy", "margin", "n_scored", "accepted")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_matroska_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_language_id, op5_mix_sources, op6_exact_dedup, op8_sharding, op9_ngram_jaccard_join, op10_matroska_packets)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_language_id, op4_lm_scoring, op5_mix_sources, op6_exact_dedup, op8_sharding, op9_ngram_jaccard_join, op10_matroska_packets)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -124,3 +124,45 @@ def gram_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
             yield g
         else:
             yield words[:0]
+
+
+def spelled_words(texts: list[str | None], spell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, lengths, spelling, offsets) of the words of word_hashes. ``spelling`` is the sum of spell[p, c] over the symbols c of a
+    word, p the symbol before it, or 0 before the first; ``symbols`` below says which symbol a code point is."""
+    hashes, offsets = word_hashes(texts)
+    lengths, spelling = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for symbol, before, start, stop in word_symbols(texts):
+        total = np.concatenate([[0.0], np.cumsum(spell[before, symbol], dtype=np.float64)])
+        lengths.append(stop - start)
+        spelling.append(total[stop] - total[start])
+    return hashes, np.concatenate(lengths), np.concatenate(spelling), offsets
+
+
+#: Symbols of spelling: 0 begins a word, most code points below PLAIN_SYMBOLS stand for themselves, the others share the rest.
+SYMBOLS, PLAIN_SYMBOLS = 512, 448
+
+
+def symbols(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes < PLAIN_SYMBOLS, codes, PLAIN_SYMBOLS + codes % (SYMBOLS - PLAIN_SYMBOLS)).astype(np.int32)
+
+
+def word_symbols(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For stretches of text, in order: (symbols, symbols before them, starts, ends of the words); symbols outside words are 0."""
+    group: list[str] = []
+    size = 0
+
+    def stretch() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        codes = code_points("\n".join(group) + "\n")
+        inside = letters_and_numbers()[codes]
+        edge = np.diff(inside.astype(np.int8), prepend=np.int8(0))
+        symbol = np.where(inside, symbols(codes), 0)
+        return symbol, np.concatenate([[0], symbol[:-1]]), np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+    for _, piece in _pieces(texts):
+        if size and size + len(piece) > PIECE:
+            yield stretch()
+            group, size = [], 0
+        group.append(piece)
+        size += len(piece) + 1
+    if group:
+        yield stretch()
