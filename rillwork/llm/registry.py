@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdedup, hmm, languageid, linededup, matroska, mixing, neardup, packing, sharding
+from . import exactdedup, hmm, languageid, linededup, matroska, mixing, neardup, packing, quality, sharding
 from .frames import table
 
 
@@ -35,6 +35,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.drop_exact_copies(table(spark, sf_dir, "documents"), exactdedup.earlier_half())
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffle_to_shards(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_matroska_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_language_id, op4_lm_scoring, op5_mix_sources, op6_exact_dedup, op8_sharding, op9_ngram_jaccard_join, op10_matroska_packets)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_language_id, op4_lm_scoring, op5_mix_sources, op6_exact_dedup, op7_quality_classifier, op8_sharding, op9_ngram_jaccard_join, op10_matroska_packets)}
 
 
 def oracle_sql() -> dict[str, str]:
