@@ -4,7 +4,7 @@ Texts are tokenised once; only (doc_id, tokens) is shuffled, into packing shards
 work is linear in the corpus. In each shard the pieces are placed best fit, longest first. Then the emptiest bins, as many as
 there are over the lower bound, give documents away to other underfull bins: a move, an exchange of one for one, of two for one
 or of one for two, each of which makes the fuller bin fuller and so raises the sum of squared fills, until they are empty or no
-exchange is left.
+exchange is left; the other underfull bins exchange too.
 """
 
 from __future__ import annotations
@@ -26,13 +26,15 @@ from .frames import columns_of, tidy
 @dataclass(frozen=True)
 class PackConfig:
     """capacity: tokens in a sequence. separator: tokens that end each document. vocabulary: path of byte-level BPE ranks;
-    pattern: the expression that splits text before it. shard_rows: documents packed together, on average."""
+    pattern: the expression that splits text before it. shard_rows: documents packed together, on average. rounds: sweeps of the local
+    search over all underfull bins, at most."""
 
     capacity: int = 2048
     separator: int = 1
     vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     pattern: str = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     shard_rows: int = 16384
+    rounds: int = 3
     seed: int = 5
 
 
@@ -86,89 +88,102 @@ class LocalSearch:
     """Empties bins by moves and exchanges that raise the sum of squared fills."""
 
     def __init__(self, sizes: np.ndarray, bins: list[list[int]], capacity: int):
-        self.sizes, self.bins, self.capacity = sizes, [list(b) for b in bins], capacity
+        self.sizes, self.bins, self.capacity = sizes.astype(np.int64), [list(b) for b in bins], capacity
         self.fill = np.array([int(sizes[b].sum()) for b in bins], np.int64)
         self.least = -(-int(sizes.sum()) // capacity)
-        self.singles: tuple[np.ndarray, ...] = ()
-        self._pairs: dict[int, np.ndarray] = {}
-
-    def run(self) -> list[list[int]]:
-        moved = True
-        while moved and (over := int((self.fill > 0).sum()) - self.least) > 0:
+        self.home = np.zeros(len(sizes), np.int64)
+        for k, b in enumerate(bins):
+            self.home[b] = k
+        self._pair_up()
+
+    def run(self, rounds: int = 3) -> list[list[int]]:
+        """Only as many bins as there are over the lower bound can ever be emptied, so the emptiest ones give first; then all other
+        underfull bins exchange, and the next round begins, until nothing moves or the rounds are over."""
+        for _ in range(rounds):
+            over = int((self.fill > 0).sum()) - self.least
+            if over <= 0:
+                break
+            used = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
+            donors = used[np.lexsort((used, self.fill[used]))].tolist()
             moved = False
-            used = np.flatnonzero(self.fill > 0)
-            for a in used[np.lexsort((used, self.fill[used]))][:over].tolist():
+            for a in donors:
                 while self.fill[a] and self._improve(a):
                     moved = True
+                if int((self.fill > 0).sum()) == self.least:
+                    break
+            if not moved:
+                break
         return [b for b in self.bins if b]
 
-    def _others(self, a: int) -> np.ndarray:
-        """Underfull bins, at least as full as a."""
-        ok = (self.fill >= self.fill[a]) & (self.fill < self.capacity)
-        ok[a] = False
-        return np.flatnonzero(ok)
-
-    def _two(self, b: int) -> np.ndarray:
-        """The pairs of items of bin b: [pair, (i, j)]."""
-        if b not in self._pairs:
-            self._pairs[b] = np.array(list(combinations(self.bins[b], 2)), np.int64).reshape(-1, 2)
-        return self._pairs[b]
+    def _pair_up(self) -> None:
+        """All pairs of items that share a bin: (i, j, size of both). Pairs that an exchange parts are seen by their homes; new ones wait."""
+        pairs = [np.array(list(combinations(b, 2)), np.int64).reshape(-1, 2) for k, b in enumerate(self.bins) if self.fill[k] < self.capacity]
+        self.pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+        self.both = self.sizes[self.pairs].sum(1)
+        self.fresh: list[tuple[int, int]] = []
 
     def _improve(self, a: int) -> bool:
-        """Makes the exchange that takes most out of bin a; ties go to the kind named first and the earliest items."""
-        others = self._others(a)
-        if not len(others):
-            return False
-        gap = self.capacity - self.fill[others]
-        best: tuple[int, list[int], list[int], int] = (0, [], [], -1)
+        """The exchange that takes most out of bin a, with a bin at least as full; ties go to the kind tried first and the earliest items."""
         mine = sorted(self.bins[a], key=lambda i: (-self.sizes[i], i))
-        for x in mine:  # move, into the tightest room
-            s = int(self.sizes[x])
-            fits = np.flatnonzero(gap >= s)
-            if len(fits) and s > best[0]:
-                best = (s, [x], [], int(others[fits[np.argmin(gap[fits])]]))
-                break
-        if not best[0]:
-            item = np.concatenate([np.array(self.bins[b], np.int64) for b in others])
-            at = np.repeat(np.arange(len(others)), [len(self.bins[b]) for b in others])
-            two_a = [(int(self.sizes[i] + self.sizes[j]), [i, j]) for i, j in combinations(mine, 2)]
-            for s, given in [(int(self.sizes[x]), [x]) for x in mine] + two_a:
-                best = self._exchange(best, s, given, self.sizes[item], item[:, None], at, gap, others)
-            twos = [self._two(b) for b in others]
-            pair = np.concatenate(twos)
-            at = np.repeat(np.arange(len(others)), [len(t) for t in twos])
-            both = self.sizes[pair].sum(1)
-            for x in mine:
-                best = self._exchange(best, int(self.sizes[x]), [x], both, pair, at, gap, others)
+        gap = np.where((self.fill >= self.fill[a]) & (self.fill < self.capacity), self.capacity - self.fill, 0)
+        gap[a] = 0
+        for x in mine:  # a move, into the tightest room
+            room = np.where(gap >= self.sizes[x], gap, self.capacity + 1)
+            b = int(room.argmin())
+            if room[b] <= self.capacity:
+                self._swap(a, b, [x], [])
+                return True
+        best: tuple[int, list[int], list[int]] = (0, [], [])
+        item_gap = gap[self.home]
+        given = [[x] for x in mine] + [list(p) for p in combinations(mine, 2)]
+        for g in given:
+            best = self._best(best, g, self.sizes, item_gap, lambda k: [k])
+        if len(self.fresh) > 4096:
+            self._pair_up()
+        if self.fresh:
+            self.pairs = np.concatenate([self.pairs, np.array(self.fresh, np.int64)])
+            self.both = np.concatenate([self.both, self.sizes[np.array(self.fresh)].sum(1)])
+            self.fresh = []
+        i, j = self.home[self.pairs[:, 0]], self.home[self.pairs[:, 1]]
+        pair_gap = np.where(i == j, gap[i], 0)
+        for g in given[: len(mine)]:
+            best = self._best(best, g, self.both, pair_gap, lambda k: self.pairs[k].tolist())
         if not best[0]:
             return False
-        amount, given, taken, b = best
-        self.bins[a] = [i for i in self.bins[a] if i not in given] + taken
-        self.bins[b] = [i for i in self.bins[b] if i not in taken] + given
-        self.fill[a] -= amount
-        self.fill[b] += amount
-        self._pairs.pop(a, None), self._pairs.pop(b, None)
+        self._swap(a, int(self.home[best[2][0]]), best[1], best[2])
         return True
 
-    @staticmethod
-    def _exchange(best, s, given, back, items, at, gap, others):
-        gain = s - back
-        ok = np.flatnonzero((gain > best[0]) & (gain <= gap[at]))
+    def _best(self, best, given, back, gap, names):
+        gain = int(self.sizes[given].sum()) - back
+        ok = np.flatnonzero((gain > best[0]) & (gain <= gap))
         if len(ok):
-            k = ok[np.argmax(gain[ok])]
-            return (int(gain[k]), given, items[k].tolist(), int(others[at[k]]))
+            k = int(ok[np.argmax(gain[ok])])
+            return int(gain[k]), given, names(k)
         return best
 
+    def _swap(self, a: int, b: int, given: list[int], taken: list[int]) -> None:
+        for source, target, items in ((a, b, given), (b, a, taken)):
+            for i in items:
+                self.bins[source].remove(i)
+            for i in items:
+                self.fresh += [(i, other) for other in self.bins[target] if other not in given and other not in taken]
+                self.bins[target].append(i)
+                self.home[i] = target
+        self.fresh += [tuple(p) for items in (given, taken) for p in combinations(items, 2)]
+        amount = int(self.sizes[given].sum()) - int(self.sizes[taken].sum())
+        self.fill[a] -= amount
+        self.fill[b] += amount
+
 
-def pack_sizes(sizes: np.ndarray, capacity: int) -> list[list[int]]:
+def pack_sizes(sizes: np.ndarray, capacity: int, rounds: int = 3) -> list[list[int]]:
     """Bins of item numbers for sizes of 1 to capacity."""
-    return LocalSearch(sizes, best_fit(sizes, capacity), capacity).run() if len(sizes) else []
+    return LocalSearch(sizes, best_fit(sizes, capacity), capacity).run(rounds) if len(sizes) else []
 
 
 _OUT = "doc_id long, piece long, start_token long, end_token long, shard long, bin long, bin_offset long"
 
 
-def _pack_shard(capacity: int):
+def _pack_shard(capacity: int, rounds: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("luck", "ascending"), ("doc_id", "ascending"), ("tokens", "ascending")])
         doc, n = table["doc_id"].combine_chunks(), table["tokens"].to_numpy()
@@ -184,7 +199,7 @@ def _pack_shard(capacity: int):
             bin_[whole] = used
             used += 1
         rest = np.flatnonzero((size > 0) & (size < capacity))
-        for b in pack_sizes(size[rest], capacity):
+        for b in pack_sizes(size[rest], capacity, rounds):
             at = 0
             for i in b:
                 bin_[rest[i]], offset[rest[i]] = used, at
@@ -231,4 +246,4 @@ def pack_documents(docs: DataFrame, config: PackConfig = PackConfig()) -> DataFr
     docs = tidy(docs, ["doc_id", "text"])
     shards = max(1, -(-docs.count() // config.shard_rows))
     counted = count_tokens(docs, config).withColumn("shard", F.pmod("luck", F.lit(shards)))
-    return counted.groupBy("shard").applyInArrow(_pack_shard(config.capacity), _OUT)
+    return counted.groupBy("shard").applyInArrow(_pack_shard(config.capacity, config.rounds), _OUT)
