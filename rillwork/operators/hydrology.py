@@ -194,3 +194,50 @@ def connected(cells: DataFrame, grid: Grid, size: int = 512) -> DataFrame:
             around[1:-1, 1:-1] = inner
 
     return fixpoint(cells, grid, ["value"], ["value"], flood, flood, size).select("row", "col", F.col("value").cast("long").alias("value"))
+
+
+def drain_flats(filled: DataFrame, d8: DataFrame, grid: Grid, size: int = 512) -> DataFrame:
+    """``d8`` in which cells of flats point along the shortest way over equal cells to one that drains, or to the edge; ties in the order of
+    directions. Outlets at the edge and beside cells without data stay outlets, as do pits that nothing drains."""
+    height, width = grid.height, grid.width
+
+    def spread(inputs: np.ndarray, halo: np.ndarray, r0: int, c0: int, known: bool) -> np.ndarray:
+        z, code = inputs
+        h, w = z.shape
+        none = np.isnan(np.pad(z, 1, constant_values=0.0))
+        around = np.isnan(halo[1]) if known else np.zeros((h + 2, w + 2), bool)
+        around[1:-1, 1:-1] = False
+        dry = none | around
+        dist = np.full((h, w), np.inf)
+        heap: list[tuple[float, int, int]] = []
+        for r, c in zip(*np.nonzero(~np.isnan(z))):
+            edge = r + r0 in (0, height - 1) or c + c0 in (0, width - 1) or dry[r : r + 3, c : c + 3].any()
+            if code[r, c] > 0 or edge:
+                dist[r, c] = 0.0
+            elif r in (0, h - 1) or c in (0, w - 1):
+                for dr, dc in NEIGHBOURS:
+                    i, j = r + 1 + dr, c + 1 + dc
+                    if halo[1, i, j] == z[r, c]:
+                        dist[r, c] = min(dist[r, c], halo[0, i, j] + 1)
+            if np.isfinite(dist[r, c]):
+                heap.append((dist[r, c], int(r), int(c)))
+        heapq.heapify(heap)
+        while heap:
+            d, r, c = heapq.heappop(heap)
+            if d > dist[r, c]:
+                continue
+            for dr, dc in NEIGHBOURS:
+                i, j = r + dr, c + dc
+                if 0 <= i < h and 0 <= j < w and z[i, j] == z[r, c] and d + 1 < dist[i, j]:
+                    dist[i, j] = d + 1
+                    heapq.heappush(heap, (d + 1, i, j))
+        return np.stack([np.where(np.isnan(z), np.nan, dist), z])
+
+    both = filled.select("row", "col", "value").join(d8.select("row", "col", F.col("value").alias("code")), ["row", "col"])
+    got = fixpoint(both, grid, ["value", "code"], ["dist", "z"], lambda i, s, halo, r, c: spread(i, halo, r, c, False), lambda i, s, halo, r, c: spread(i, halo, r, c, True), size)
+    near = with_neighbours(with_neighbours(got.select("row", "col", "z", "dist"), "z", True).withColumnsRenamed({n: f"z_{n}" for n in DIRECTIONS}), "dist", True)
+    way = F.lit(0)
+    for name, (_, _, code) in reversed(DIRECTIONS.items()):
+        way = F.when((F.col(f"z_{name}") == F.col("z")) & (F.col(name) == F.col("dist") - 1), code).otherwise(way)
+    flat = near.select("row", "col", F.when((F.col("dist") > 0) & (F.col("dist") < float("inf")), way).alias("way"))
+    return d8.join(flat, ["row", "col"], "left").select("row", "col", F.when(F.col("value") == 0, F.coalesce(F.nullif("way", F.lit(0)), F.col("value"))).otherwise(F.col("value")).cast("int").alias("value"))

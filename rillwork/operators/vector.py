@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -151,3 +152,49 @@ def polygon_areas(rings: DataFrame) -> DataFrame:
     w = Window.partitionBy("ring_id").orderBy("seq")
     cross = F.col("x") * F.lead("y").over(w) - F.lead("x").over(w) * F.col("y")
     return rings.withColumn("cross", cross).groupBy("ring_id").agg((F.abs(F.sum("cross")) / 2).alias("area"))
+
+
+def outlines(regions: DataFrame, grid: Grid) -> DataFrame:
+    """(HYDROID, region, ring, seq, x, y): closed rings around the regions (row, col, HYDROID, region), outer ones clockwise, holes the other way.
+
+    The sides of cells that face another region are found by a join; only they are put together, region by region. The signed areas
+    of a region's rings sum up to its cells.
+    """
+    sides = {"n": (-1, 0, 0, 0, 0, 1), "e": (0, 1, 0, 1, 1, 1), "s": (1, 0, 1, 1, 1, 0), "w": (0, -1, 1, 0, 0, 0)}
+    side = F.explode(F.array(*[F.struct((F.col("row") + dr).alias("nr"), (F.col("col") + dc).alias("nc"), (F.col("row") + a).alias("r1"), (F.col("col") + b).alias("c1"), (F.col("row") + c).alias("r2"), (F.col("col") + d).alias("c2")) for dr, dc, a, b, c, d in sides.values()]))
+    every = regions.select("HYDROID", "region", side.alias("s")).select("HYDROID", "region", "s.*")
+    inside = regions.select(F.col("row").alias("nr"), F.col("col").alias("nc"), "region")
+    border = every.join(inside, ["nr", "nc", "region"], "left_anti")
+    x0, y0, cell = grid.x0, grid.y0, grid.cell
+
+    def trace(t: pa.Table) -> pa.Table:
+        nexts: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for r1, c1, r2, c2 in sorted(zip(*(t[n].to_pylist() for n in ("r1", "c1", "r2", "c2")))):
+            nexts.setdefault((r1, c1), []).append((r2, c2))
+        rows, ring = [], 0
+        for first in sorted(nexts):
+            while nexts.get(first):
+                at, points, before = first, [], None
+                while True:
+                    ways = nexts[at]
+                    if before and len(ways) > 1:  # where two corners touch: turn right, so that the ring stays with its cell
+                        right = (before[1], -before[0])
+                        k = next((i for i, w in enumerate(ways) if (w[0] - at[0], w[1] - at[1]) == right), 0)
+                    else:
+                        k = 0
+                    to = ways.pop(k)
+                    step = (to[0] - at[0], to[1] - at[1])
+                    if step != before:
+                        points.append(at)
+                    at, before = to, step
+                    if at == first:
+                        break
+                points.append(points[0])
+                rows += [(ring, i, x0 + c * cell, y0 - r * cell) for i, (r, c) in enumerate(points)]
+                ring += 1
+        a, b, c, d = zip(*rows)
+        n = len(rows)
+        return pa.table({"HYDROID": [t["HYDROID"][0].as_py()] * n, "region": [t["region"][0].as_py()] * n, "ring": a, "seq": b, "x": c, "y": d})
+
+    typed = border.select(*[F.col(n).cast("long").alias(n) for n in ("HYDROID", "region", "r1", "c1", "r2", "c2")])
+    return typed.groupBy("HYDROID", "region").applyInArrow(trace, "HYDROID long, region long, ring long, seq long, x double, y double")

@@ -314,6 +314,21 @@ def fill_depressions(spark, sf):
     return H.fill_depressions(X.holed(spark, sf), X.grid(spark, sf), 128).select("row", "col", _r("value", 9))
 
 
+_FLAT = (
+    "flat AS MATERIALIZED (SELECT id // 64 AS r, id % 64 AS c, w AS z FROM fill), "
+    + _d8_sql("flat")
+    + ", far(id, n) USING KEY (id) AS (SELECT id, 0 FROM d8 WHERE code > 0 OR r IN (0, 39) OR c IN (0, 63) UNION SELECT d.id, min(f.n + 1) FROM far f JOIN flat a ON a.r * 64 + a.c = f.id CROSS JOIN nb JOIN flat b ON b.r = a.r + dr AND b.c = a.c + dc AND b.z = a.z JOIN d8 d ON d.id = b.r * 64 + b.c LEFT JOIN recurring.far o ON o.id = d.id WHERE o.n IS NULL OR f.n + 1 < o.n GROUP BY d.id), "
+    "way AS (SELECT a.r * 64 + a.c AS id, arg_min(nb.code, nb.k) AS code FROM flat a JOIN far fa ON fa.id = a.r * 64 + a.c AND fa.n > 0 CROSS JOIN nb JOIN flat b ON b.r = a.r + dr AND b.c = a.c + dc AND b.z = a.z JOIN far fb ON fb.id = b.r * 64 + b.c AND fb.n = fa.n - 1 GROUP BY 1)"
+)
+
+
+@query(_rec(X.CELL, "holed AS MATERIALIZED (SELECT r, c, round(z * 8e0) / 8e0 AS z FROM cell WHERE r < 40)", "dim AS (SELECT 40 AS h)", _NEAR, _FILL, _FLAT) + "SELECT d.r AS row, d.c AS col, CAST(CASE WHEN d.code = 0 THEN coalesce(w.code, 0) ELSE d.code END AS INTEGER) AS value FROM d8 d LEFT JOIN way w ON w.id = d.id")
+def d8_over_flats(spark, sf):
+    g, dem = X.small(spark, sf)
+    filled = cut(H.fill_depressions(dem.select("row", "col", (F.rint(F.col("value") * 8) / 8).alias("value")), g, 16))
+    return H.drain_flats(filled, H.d8_pointer(filled, g), g, 16)
+
+
 _SHARE = (
     "part AS (SELECT a.r * 64 + a.c AS src, b.r * 64 + b.c AS dst, pow((a.z - b.z) / CASE WHEN dr <> 0 AND dc <> 0 THEN sqrt(2e0) ELSE 1e0 END, 1.1e0) * CASE WHEN dr <> 0 AND dc <> 0 THEN 0.354e0 ELSE 0.5e0 END AS p "
     "FROM dem a CROSS JOIN nb JOIN dem b ON b.r = a.r + dr AND b.c = a.c + dc WHERE a.z > b.z), "
@@ -560,6 +575,19 @@ def vectorized_area(spark, sf):
     return I.region_areas(cells, Grid(100, 64)).withColumn("AreaSqKm", F.round("AreaSqKm", 9))
 
 
+@query(_rec(X.CELL, _NEAR, _REG) + 'SELECT v AS "HYDROID", l AS region, CAST(count(*) AS DOUBLE) AS area FROM lab JOIN val ON val.id = lab.id GROUP BY 1, 2')
+def region_outlines(spark, sf):
+    """The signed areas of the outlines of each region: what its cells are."""
+    from pyspark.sql.window import Window
+
+    g = Grid(100, 64)
+    cells = X.cell(spark, sf).where("row < 100").select("row", "col", F.floor(F.abs("value") * 10).alias("value"))
+    rings = V.outlines(N.same_value_regions(cells, g), g)
+    w = Window.partitionBy("HYDROID", "region", "ring").orderBy("seq")
+    cross = (F.col("y") * F.lead("x").over(w) - F.lead("y").over(w) * F.col("x")) / 2
+    return rings.withColumn("cross", cross).groupBy("HYDROID", "region").agg(F.sum("cross").alias("area"))
+
+
 # --- rating curves and maps
 
 

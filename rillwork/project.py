@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import algebra, depressions, hydrology, inundation, network, rating, terrain, vector
+from .operators.graph import cut
 from .schema import Grid
 from .sources import geotiff, tables
 
@@ -153,8 +154,9 @@ class Project:
         return hydrology.accumulation_fd8(filled, self.grid, exponent, tile)
 
     @step("filled", "filtered")
-    def d8(self, filled, filtered):
-        return algebra.mask_by(hydrology.d8_pointer(filled, self.grid), filtered)
+    def d8(self, filled, filtered, drain_flats=True, tile=512):
+        d8 = cut(hydrology.d8_pointer(filled, self.grid))
+        return algebra.mask_by(hydrology.drain_flats(filled, d8, self.grid, tile) if drain_flats else d8, filtered)
 
     @step("d8")
     def outlets(self, d8):
@@ -243,6 +245,10 @@ class Project:
     def catchment_areas(self, catchments, tile=512):
         return inundation.region_areas(catchments, self.grid, tile)
 
+    @step("catchments")
+    def catchment_outlines(self, catchments, tile=512):
+        return vector.outlines(network.same_value_regions(catchments, self.grid, tile), self.grid)
+
     @step("dem", "segments", "catchments")
     def river_attributes(self, dem, segments, catchments, comids=None, min_slope=1e-6):
         lines = segments.select(F.col("HYDROID").alias("path_id"), "seq", "x", "y")
