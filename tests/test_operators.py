@@ -301,3 +301,40 @@ def test_resampling(spark):
 def test_missing_columns(spark):
     with pytest.raises(ValueError):
         require(spark.range(1), "hand")
+
+
+def test_flats_drain(spark):
+    z = np.full((6, 7), 5.0)
+    z[2:5, 1:6] = 3.0  # a plateau below its rim, with one way out
+    z[3, 6] = 3.0
+    z[0, 0] = np.nan
+    g, cells = raster(spark, z)
+    d8 = hydrology.d8_pointer(cells, g)
+    for size in (2, 64):
+        got = array(hydrology.drain_flats(cells, d8, g, size), g)
+        assert got[3, 6] == 0 and (got[2:5, 1:6] > 0).all()
+        routed = hydrology.drain_flats(cells, d8, g, size)
+        roots = array(hydrology.basins(routed, g), g)
+        assert len(set(roots[2:5, 1:6].ravel())) == 1
+
+
+def test_outlines_with_a_hole_and_touching_corners(spark):
+    g, cells = raster(spark, [[1, 1, 1, 0, 0], [1, 0, 1, 0, 0], [1, 1, 1, 0, 2], [0, 0, 0, 1, 2]])
+    rings = vector.outlines(network.same_value_regions(cells, g), g).collect()
+    area = {}
+    for key in {(r["HYDROID"], r["ring"]) for r in rings}:
+        p = [(r["x"], r["y"]) for r in sorted((r for r in rings if (r["HYDROID"], r["ring"]) == key), key=lambda r: r["seq"])]
+        assert p[0] == p[-1]
+        area.setdefault(key[0], []).append(-sum(a * d - c * b for (a, b), (c, d) in zip(p, p[1:])) / 2)
+    assert sorted(area[1]) == [-1, 1, 9] and area[2] == [2]
+
+
+def test_utm(spark):
+    from rillwork.functions.projection import from_utm, to_utm, zone_of
+
+    df = spark.createDataFrame([(3.0, 45.0), (2.2945, 48.8582), (0.0, -10.0)], "lon double, lat double")
+    e, n = to_utm(F.col("lon"), F.col("lat"), 31)
+    rows = df.select("lon", "lat", e.alias("e"), n.alias("n"), zone_of(F.col("lon")).alias("zone")).withColumns(dict(zip(("lon2", "lat2"), from_utm(F.col("e"), F.col("n"), 31)))).collect()
+    assert rows[0]["e"] == pytest.approx(500000) and rows[0]["n"] == pytest.approx(4982950.400, abs=1e-3)
+    assert (rows[1]["e"], rows[1]["n"]) == (pytest.approx(448251.795, abs=1e-2), pytest.approx(5411932.678, abs=1e-2))
+    assert all(r["lon2"] == pytest.approx(r["lon"], abs=1e-8) and r["lat2"] == pytest.approx(r["lat"], abs=1e-8) and r["zone"] == 31 for r in rows)
