@@ -59,15 +59,34 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def columns_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    """For each Arrow batch the named columns as Arrow arrays, without empty batches."""
+#: Rows that the JVM puts in one Arrow batch at most: whole texts are long, and several batches are in flight for each task.
+BATCH_ROWS = 512
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session is told to make Arrow batches of at most BATCH_ROWS rows (a smaller setting stays)."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
+#: Rows and bytes of an Arrow batch that a kernel works on at once, on average.
+SLICE_ROWS, SLICE_BYTES = 2048, 4 << 20
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of bounded size, without empty ones: kernels need many times the memory of what they work on."""
     for b in batches:
-        if b.num_rows:
-            yield tuple(b.column(b.schema.get_field_index(n)) for n in names)
+        step = max(1, min(SLICE_ROWS, b.num_rows * SLICE_BYTES // max(1, b.nbytes)))
+        for lo in range(0, b.num_rows, step):
+            yield b.slice(lo, step)
 
 
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+def columns_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    """For each slice of the Arrow batches the named columns as Arrow arrays."""
+    for b in sliced(batches):
+        yield tuple(b.column(b.schema.get_field_index(n)) for n in names)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import columns_of, cut, tidy
+from .frames import bounded_batches, columns_of, cut, tidy
 from .text import PLAIN_SYMBOLS, SYMBOLS, mix, spelled_words, word_hashes, word_symbols
 
 LENGTHS = 16
@@ -309,7 +309,7 @@ def score_documents(docs: DataFrame, config: HmmConfig = HmmConfig()) -> DataFra
     -log_likelihood / n_words. A null text, or one without a word, has 0 words, log_likelihood 0 and no cross-entropy (null). A null
     doc_id is carried; repeated rows count again in training and get equal scores. An empty table has no row.
     """
-    docs = tidy(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = bounded_batches(tidy(docs, ["doc_id", "text"])).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sc = docs.sparkSession.sparkContext
     lexicon = build_lexicon(docs, config)
     encoded = cut(docs.mapInArrow(_encode(sc.broadcast(lexicon)), "doc_id long, symbols binary, spelling double"))

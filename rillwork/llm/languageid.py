@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .frames import columns_of, tidy
+from .frames import bounded_batches, columns_of, sliced, tidy
 from .text import code_points, letters, mix
 
 #: Positions that are looked up at once.
@@ -298,7 +298,7 @@ def identify_languages(docs: DataFrame, config: LanguageConfig = LanguageConfig(
     any length are scored whole. An existing column of one of these names is replaced; other columns pass through. A null
     doc_id or source changes nothing; rows with a null lang are scored but not trained on.
     """
-    docs = tidy(docs, ["doc_id", "text", "lang"])
+    docs = bounded_batches(tidy(docs, ["doc_id", "text", "lang"]))
     model = model or train_language_model(docs, config)
     new = {"predicted_lang": "string", "cross_entropy": "double", "margin": "double", "n_scored": "long", "accepted": "boolean"}
     kept = [c for c in docs.columns if c.lower() not in new]
@@ -309,9 +309,7 @@ def identify_languages(docs: DataFrame, config: LanguageConfig = LanguageConfig(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in sliced(batches):
             h, _, n = cross_entropies(m, b.column(b.schema.get_field_index("text")).to_pylist())
             best = h.argmin(1)
             low = h[np.arange(len(h)), best]
@@ -332,6 +330,6 @@ def identify_languages(docs: DataFrame, config: LanguageConfig = LanguageConfig(
 
 def keep_identified(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> DataFrame:
     """The rows of ``docs`` whose language is identified; lang becomes the predicted one. Rejected rows go (see identify_languages)."""
-    docs = tidy(docs, ["doc_id", "text", "lang"])
+    docs = bounded_batches(tidy(docs, ["doc_id", "text", "lang"]))
     scored = identify_languages(docs, config)
     return scored.where("accepted").select(*[F.col("predicted_lang").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])

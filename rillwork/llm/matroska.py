@@ -12,10 +12,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import tidy
+from .frames import bounded_batches, tidy
 
 EBML, SEGMENT, INFO, SCALE, TRACKS, ENTRY = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x2AD7B1, 0x1654AE6B, 0xAE
 NUMBER, KIND, CODEC, DEFAULT_DURATION = 0xD7, 0x83, 0x86, 0x23E383
@@ -264,7 +264,7 @@ def packet_table(df: DataFrame, media: str = "media", key: str = "doc_id", diges
     empty, cut off or no Matroska gives the packets before the fault and one row without a track whose ``error`` tells it.
     Null and repeated keys are carried as they are. An empty table gives no row. md5 of the payload is given if ``digest``.
     """
-    df = tidy(df, [key, media]).select(key, media)
+    df = bounded_batches(tidy(df, [key, media])).select(key, media)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +326,7 @@ def block_content(track: int, relative: int, frames: list[bytes], lacing: int, k
     sizes = [len(f) for f in frames]
     if lacing == XIPH:
         head += b"".join(b"\xff" * (s // 255) + bytes([s % 255]) for s in sizes[:-1])
-    elif lacing == EBML_LACING:
+    elif lacing == EBML_LACING and len(sizes) > 1:
         head += size_bytes(sizes[0])
         for a, b in zip(sizes, sizes[1:-1]):
             d = b - a
@@ -369,8 +369,8 @@ def with_text_movies(df: DataFrame, text: str = "text", media: str = "media") ->
     def write(texts):
         return texts.map(lambda t: None if t is None else text_movie(t))
 
-    column: Column = write(F.col(text))
-    return df.withColumn(media, column)
+    df = bounded_batches(tidy(df, [text]))
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != media.lower()], write(F.col(text)).alias(media))
 
 
 MOVIE_SQL = """

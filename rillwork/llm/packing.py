@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import columns_of, tidy
+from .frames import bounded_batches, columns_of, tidy
 
 
 @dataclass(frozen=True)
@@ -243,7 +243,7 @@ def pack_documents(docs: DataFrame, config: PackConfig = PackConfig()) -> DataFr
     """
     if config.capacity < 1 or config.shard_rows < 1:
         raise ValueError("capacity and shard_rows must be at least 1")
-    docs = tidy(docs, ["doc_id", "text"])
+    docs = bounded_batches(tidy(docs, ["doc_id", "text"]))
     shards = max(1, -(-docs.count() // config.shard_rows))
     counted = count_tokens(docs, config).withColumn("shard", F.pmod("luck", F.lit(shards)))
     return counted.groupBy("shard").applyInArrow(_pack_shard(config.capacity, config.rounds), _OUT)

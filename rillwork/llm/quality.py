@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import columns_of, tidy
+from .frames import bounded_batches, columns_of, tidy
 from .text import PIECE, code_points, mix, word_hashes
 
 _KINDS = ("Lu", "Ll", "N", "Z", "P", "S")  #: upper, other letters, numbers, blanks, punctuation, symbols; line ends and the rest come last
@@ -196,7 +196,7 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, config: QualityConfi
     marks = tidy(labels, ["doc_id", "quality"]).where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     luck = F.xxhash64(F.lit(config.seed), "doc_id")
     chosen = marks.orderBy(luck, "doc_id").limit(config.max_labelled)  # a top-n: no task holds more than the bound
-    docs = tidy(docs, ["doc_id", "text", "source", "lang"]).select("doc_id", "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
+    docs = bounded_batches(tidy(docs, ["doc_id", "text", "source", "lang"])).select("doc_id", "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
     rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
     k = len(STRUCTURE)
 
@@ -229,7 +229,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, config: QualityConfig =
     trained on; without any label every score is null and every document with text is kept. A null doc_id is carried; repeated
     rows get equal scores; an empty table has no row.
     """
-    docs = tidy(docs, ["doc_id", "text", "source", "lang"])
+    docs = bounded_batches(tidy(docs, ["doc_id", "text", "source", "lang"]))
     model = model or train_quality_model(docs, labels, config)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
     if model is None:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import fresh
+from .frames import bounded_batches, fresh, tidy
 
 _NUMPY_MOST = 10**9 - 1
 
@@ -106,6 +106,7 @@ def shuffle_to_shards(docs: DataFrame, config: ShardConfig = ShardConfig()) -> D
     time ``docs`` is computed, as they are for files; a partition that changes its size between the count and the exchange
     stops the job instead of giving wrong sizes.
     """
+    docs = bounded_batches(tidy(docs, []))
     docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "shard_pos")])
     counted = docs.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
     sizes = np.zeros(1 + max([r["p"] for r in counted], default=0), np.int64)

@@ -12,7 +12,7 @@ from functools import cache
 import numpy as np
 
 #: Code points that are handled at once; longer texts are cut at a blank and put together again.
-PIECE = 1 << 20
+PIECE = 1 << 19
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -46,11 +46,16 @@ def _char_values() -> np.ndarray:
     return mix(np.arange(1, 0x110001, dtype=np.uint64) * _B)
 
 
-@cache
+_POWERS: list[np.ndarray] = []
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    a, b = np.full(n, _B, np.uint64), np.full(n, _B_INV, np.uint64)
-    a[0] = b[0] = 1
-    return np.cumprod(a, dtype=np.uint64), np.cumprod(b, dtype=np.uint64)
+    """Powers of the multiplier and of its inverse, n at least; one table is kept, for the largest n so far."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        a, b = np.full(n, _B, np.uint64), np.full(n, _B_INV, np.uint64)
+        a[0] = b[0] = 1
+        _POWERS[:] = [np.cumprod(a, dtype=np.uint64), np.cumprod(b, dtype=np.uint64)]
+    return _POWERS[0], _POWERS[1]
 
 
 def code_points(text: str) -> np.ndarray:
