@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schema import Grid
-from .grid import sample
+from .grid import sample, xy_of
+
 
 def _along():
     return Window.partitionBy("path_id").orderBy("seq")
@@ -19,6 +20,12 @@ def as_lines(vertices: DataFrame) -> DataFrame:
     return vertices.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("geom")).where(F.size("geom") >= 2)
 
 
+def as_points(cells: DataFrame, grid: Grid, kind: str) -> DataFrame:
+    """(Type, Northing, Easting) of cells (row, col): their centres."""
+    x, y = xy_of(grid)
+    return cells.select(F.lit(kind).alias("Type"), y.alias("Northing"), x.alias("Easting"))
+
+
 def endpoints(lines: DataFrame) -> DataFrame:
     """(RiverID, START_X, START_Y, END_X, END_Y) of lines (path_id, geom)."""
     a, b = F.element_at("geom", 1), F.element_at("geom", -1)

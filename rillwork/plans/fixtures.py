@@ -34,9 +34,9 @@ def holed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row, col, hand, slope, hydroid)."""
-    c = holed(spark, sf_dir)
+    gone = (F.col("label") == 9) & (F.col("col") % 7 == 0)
     hydroid = 1 + F.floor(F.col("row") / 50) * 4 + F.floor(F.col("col") / 16)
-    return c.join(cell(spark, sf_dir).select("row", "col", F.abs("value").alias("slope")), ["row", "col"]).select("row", "col", (F.abs("value") * 20e0).alias("hand"), "slope", hydroid.cast("long").alias("hydroid"))
+    return cell(spark, sf_dir).select("row", "col", F.when(~gone, F.abs("value") * 20e0).alias("hand"), F.abs("value").alias("slope"), hydroid.cast("long").alias("hydroid"))
 
 
 def small(spark: SparkSession, sf_dir: str) -> tuple[Grid, DataFrame]:

@@ -185,6 +185,10 @@ class Project:
     def channel_heads(self, skeleton, geodesic, reach=30, most=10000):
         return network.channel_heads(skeleton, geodesic, self.grid, reach, most=most)
 
+    @step("channel_heads")
+    def channel_head_points(self, channel_heads):
+        return vector.as_points(channel_heads, self.grid, "Channel Heads")
+
     @step("flowline")
     def endpoints(self, flowline):
         return vector.endpoints(vector.as_lines(flowline))
@@ -199,13 +203,17 @@ class Project:
         return vector.rasterize_buffer(flowline, self.grid, radius).withColumn("value", F.lit(1))
 
     @step("curvature", "accumulation", "binary_hand")
-    def channel_cost(self, curvature, accumulation, binary_hand, weight_curvature=None, weight_accumulation=1.0, weight_binary_hand=0.75, share=0.025):
+    def channel_cost(self, curvature, accumulation, binary_hand, weight_curvature=None, weight_accumulation=1.0, weight_binary_hand=0.75, weight_flowline=1.0, use_flowline=False, no_flowline=False, share=0.025):
+        """``use_flowline`` adds the dataset flowline_mask, and goes before ``no_flowline``, which leaves the nearest channel out."""
         fac = algebra.minmax_scale(accumulation.select("row", "col", algebra.log(F.col("value")).alias("value"))).withColumnRenamed("value", "fac")
         curv = algebra.minmax_scale(curvature.select("row", "col", algebra.within(F.col("value"), -10, 10).alias("value"))).withColumnRenamed("value", "curv")
         weight = weight_curvature if weight_curvature is not None else fac.agg(F.avg("fac")).first()[0]
         cells = curv.join(fac, ["row", "col"]).join(binary_hand.withColumnRenamed("value", "hand"), ["row", "col"])
-        cost = algebra.combined_cost([(weight, F.col("curv")), (weight_accumulation, F.col("fac")), (weight_binary_hand, F.col("hand"))])
-        return algebra.keep_cheapest(cells.select("row", "col", cost.alias("value")), share)
+        layers = [(weight, F.col("curv")), (weight_accumulation, F.col("fac")), (weight_binary_hand, None if no_flowline and not use_flowline else F.col("hand"))]
+        if use_flowline:
+            cells = cells.join(self.read("flowline_mask").withColumnRenamed("value", "on"), ["row", "col"], "left")
+            layers.append((weight_flowline, F.coalesce("on", F.lit(0))))
+        return algebra.keep_cheapest(cells.select("row", "col", algebra.combined_cost(layers).alias("value")), share)
 
     @step("channel_cost", "endpoints")
     def channel_paths(self, channel_cost, endpoints, margin=64):
