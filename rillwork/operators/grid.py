@@ -12,22 +12,35 @@ from ..schema import Grid
 DIRECTIONS = {"ne": (-1, 1, 1), "e": (0, 1, 2), "se": (1, 1, 4), "s": (1, 0, 8), "sw": (1, -1, 16), "w": (0, -1, 32), "nw": (-1, -1, 64), "n": (-1, 0, 128)}
 
 
-def with_neighbours(cells: DataFrame, value: str = "value", diagonal: bool = False) -> DataFrame:
-    """``cells`` with the neighbours' values as columns n, s, e, w (and ne, se, sw, nw): NULL beyond the edge, where there is no data, and
-    where a row is absent. Two exchanges, by column and by row; no task holds more than one row or column of cells at a time."""
-    down, across = Window.partitionBy("col").orderBy("row"), Window.partitionBy("row").orderBy("col")
+def _beside(axis: str, step: int, name: str) -> Column:
+    """The value one step along an axis; NULL beyond the edge and where the row is absent."""
+    window = Window.partitionBy("col" if axis == "row" else "row").orderBy(axis)
+    shift = F.lag if step < 0 else F.lead
+    return F.when(shift(axis).over(window) == F.col(axis) + step, shift(name).over(window))
 
-    def beside(window, axis: str, step: int, name: str) -> Column:
-        shift = F.lag if step < 0 else F.lead
-        return F.when(shift(axis).over(window) == F.col(axis) + step, shift(name).over(window))
 
-    v = cells.withColumns({"n": beside(down, "row", -1, value), "s": beside(down, "row", 1, value)})
-    columns = {"w": beside(across, "col", -1, value), "e": beside(across, "col", 1, value)}
+def with_neighbours(cells: DataFrame, value: str = "value", diagonal: bool = False, by_row_first: bool = False) -> DataFrame:
+    """``cells`` with the neighbours' values as columns n, s, e, w (and ne, se, sw, nw): NULL beyond the edge, where there is no data, and
+    where a row is absent. Two exchanges, by column and then by row, or the other way round: one is spared if the cells lie so already. No task holds more than one
+    row or column of cells at a time."""
+    if by_row_first and not diagonal:
+        return with_neighbours_of(with_neighbours_of(cells, value, "col", "we"), value, "row", "ns")
+    v = with_neighbours_of(cells, value, "row", "ns")
+    columns = {"w": _beside("col", -1, value), "e": _beside("col", 1, value)}
     if diagonal:
-        columns |= {a + b: beside(across, "col", 1 if b == "e" else -1, a) for a in "ns" for b in "ew"}
+        columns |= {a + b: _beside("col", 1 if b == "e" else -1, a) for a in "ns" for b in "ew"}
     return v.withColumns(columns)
 
 
+def with_neighbours_of(cells: DataFrame, value: str, axis: str, names: str) -> DataFrame:
+    return cells.withColumns({names[0]: _beside(axis, -1, value), names[1]: _beside(axis, 1, value)})
+
+
+def with_next(cells: DataFrame, value: str, axis: str) -> DataFrame:
+    """``cells`` with the values ``before`` and ``after`` along one axis: one exchange, or none if they lie by it already."""
+    return cells.withColumns({"before": _beside(axis, -1, value), "after": _beside(axis, 1, value)})
+
+
 def cell_id(grid: Grid, row: Column | None = None, col: Column | None = None) -> Column:
     return ((F.col("row") if row is None else row) * F.lit(grid.width) + (F.col("col") if col is None else col)).cast("long")
 

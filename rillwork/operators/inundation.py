@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import Grid
+from .graph import cut
 from .hydrology import connected
 from .network import same_value_regions
 
@@ -15,7 +16,7 @@ BROADCAST_ROWS = 2_000_000
 
 def inundate(cells: DataFrame, stages: DataFrame) -> DataFrame:
     """(row, col, value): stage - hand where the stage of the cell's catchment (HYDROID, Stage_m) is higher; NULL where it is dry."""
-    s = stages.select(F.col("HYDROID").alias("hydroid"), F.col("Stage_m").alias("stage"))
+    s = cut(stages.select(F.col("HYDROID").alias("hydroid"), F.col("Stage_m").alias("stage")))  # a row per catchment, counted and joined
     if s.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         s = F.broadcast(s)
     wet = cells.join(s, "hydroid", "left")

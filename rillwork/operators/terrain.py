@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..schema import Grid
 from .algebra import plotting_quantile
-from .grid import with_neighbours
+from .grid import with_neighbours, with_next
 
 
 def _difference(before: str, value: Column, after: str, at: Column, last: int, cell: float) -> Column:
@@ -45,11 +45,11 @@ def curvature(cells: DataFrame, grid: Grid, method: str = "geometric") -> DataFr
     if method == "geometric":
         steep = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))
         g = g.withColumn("steep", steep).withColumns({"gx": F.try_divide("gx", "steep"), "gy": F.try_divide("gy", "steep")}).drop("steep")
-    gxx = gradient(g.select("row", "col", "value", "gy", F.col("gx").alias("ux")), grid, "ux").withColumnRenamed("gx", "gxx").drop("ux")
-    base = g.select("row", "col", F.col("gy").alias("uy"))
-    gyy = gradient(base, grid, "uy").select("row", "col", F.col("gy").alias("gyy"))
-    both = gxx.select("row", "col", "value", "gxx").join(gyy, ["row", "col"])
-    return both.select("row", "col", F.when(F.col("value").isNotNull(), F.coalesce(F.col("gxx") + F.col("gyy"), F.lit(0.0))).alias("value"))
+    # gradient() leaves the cells by row, so the step along the row needs no exchange, and the one down the column a single one
+    last = {"row": grid.height - 1, "col": grid.width - 1}
+    for u, axis in (("gx", "col"), ("gy", "row")):
+        g = with_next(g, u, axis).withColumn(u, _difference("before", F.col(u), "after", F.col(axis), last[axis], grid.cell)).drop("before", "after")
+    return g.select("row", "col", F.when(F.col("value").isNotNull(), F.coalesce(F.col("gx") + F.col("gy"), F.lit(0.0))).alias("value"))
 
 
 def edge_threshold(cells: DataFrame, grid: Grid, quantile: float = 0.9) -> float | None:
@@ -73,8 +73,8 @@ def diffuse(cells: DataFrame, grid: Grid, kappa: float, iterations: int, step: f
 
     out = cells.select("row", "col", F.col("value").cast("double").alias("value"))
     z, row, col = F.col("value"), F.col("row"), F.col("col")
-    for _ in range(iterations):
-        near = with_neighbours(out)
+    for k in range(iterations):
+        near = with_neighbours(out, by_row_first=k % 2 == 1)  # each iteration begins as the last one left the cells: one exchange each
         south = F.when(row == grid.height - 1, 0.0).otherwise(flux(F.col("s") - z))
         north = F.when(row == 0, 0.0).otherwise(flux(z - F.col("n")))
         east = F.when(col == grid.width - 1, 0.0).otherwise(flux(F.col("e") - z))
