@@ -452,3 +452,18 @@ def test_pieces_don_t_change_words(monkeypatch):
     monkeypatch.setattr(text, "PIECE", 1000)
     cut = text.word_hashes(t), text.spelled_words(t, np.arange(text.SYMBOLS**2, dtype=float).reshape(text.SYMBOLS, -1))
     assert all(np.array_equal(a, b) for a, b in zip(whole[0], cut[0])) and all(np.allclose(a, b) for a, b in zip(whole[1], cut[1]))
+
+
+@pytest.mark.parametrize("name", ["op2_line_dedup", "op5_mix_sources", "op6_exact_dedup"])
+def test_joins_without_broadcasts(spark, monkeypatch, name):
+    """The other way, beyond the sizes that are broadcast, gives the same rows."""
+    before = sorted(map(repr, registry.queries()[name](spark, SF).collect()))
+    for module, limits in ((linededup, ("FREQUENT_ROWS", "AFFECTED_ROWS")), (mixing, ("BROADCAST_ROWS",)), (exactdedup, ("BROADCAST_ROWS",))):
+        for limit in limits:
+            monkeypatch.setattr(module, limit, -1)
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(repr, registry.queries()[name](spark, SF).collect())) == before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
