@@ -2,7 +2,7 @@
 
 Each document's distinct normalised lines are hashed and counted by hash, in one shuffle of 8-byte values with partial counts
 before it. The frequent hashes, a small table, meet the lines again; what travels then is positions. Texts are only shuffled
-if the table of affected texts is too large to broadcast (its rows are counted). All of it is JVM expressions.
+if the table of affected texts is too large to broadcast (its rows and positions are counted). All of it is JVM expressions.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .frames import cut, fresh, small, tidy
 
-FREQUENT_ROWS, AFFECTED_ROWS = 500_000, 100_000
+FREQUENT_ROWS, AFFECTED_ROWS, AFFECTED_POSITIONS = 500_000, 100_000, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,11 @@ def drop_frequent_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> D
     affected = cut(hits.groupBy("k1", "k2").agg(F.collect_set("at").alias("gone")))
     names = {c: fresh(docs, f"__{c}") for c in ("k1", "k2", "gone", "lines")}
     base = docs.select("*", k1.alias(names["k1"]), k2.alias(names["k2"]), _lines().alias(names["lines"]))
-    joined = base.join(small(affected.withColumnsRenamed(names), AFFECTED_ROWS), [names["k1"], names["k2"]], "left")
+    size = affected.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("positions")).first()
+    affected = affected.withColumnsRenamed(names)
+    if size["n"] <= AFFECTED_ROWS and size["positions"] <= AFFECTED_POSITIONS:
+        affected = F.broadcast(affected)
+    joined = base.join(affected, [names["k1"], names["k2"]], "left")
     lines, gone = F.col(names["lines"]), F.col(names["gone"])
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     text = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
