@@ -311,7 +311,7 @@ _FILL = (
 
 @query(_rec(X.CELL, X.HOLED, X.DIM, _NEAR, _FILL) + "SELECT id // 64 AS row, id % 64 AS col, round(w, 9) AS value FROM fill UNION ALL SELECT r, c, NULL FROM holed WHERE z IS NULL")
 def fill_depressions(spark, sf):
-    return H.fill_depressions(X.holed(spark, sf), X.grid(spark, sf), 128).select("row", "col", _r("value", 9))
+    return H.fill_depressions(X.holed(spark, sf), X.grid(spark, sf)).select("row", "col", _r("value", 9))
 
 
 _FLAT = (
@@ -657,7 +657,7 @@ _SEA = (
 def _coastal(spark, sf):
     g, cells = X.grid(spark, sf), X.holed(spark, sf).select("row", "col", "value")
     first = cells.where("value < 0.1").agg(F.min(cell_id(g))).first()[0]
-    return I.coastal(cells, g, 0.1, divmod(first, 64), 128)
+    return I.coastal(cells, g, 0.1, divmod(first, 64))
 
 
 @query(_rec(X.CELL, X.HOLED, _NEAR, _SEA) + "SELECT h.r AS row, h.c AS col, round(CASE WHEN h.r * 64 + h.c IN (SELECT id FROM sea) THEN 0.1e0 - h.z END, 9) AS value FROM holed h")
