@@ -19,30 +19,37 @@ def fill_depressions(cells: DataFrame, grid: Grid, size: int = 512) -> DataFrame
     """(row, col, value): the least level at which water on a cell can run off to the edge or to where there is no data. Flats stay flat."""
     height, width = grid.height, grid.width
 
-    def solve(inputs: np.ndarray, halo: np.ndarray, r0: int, c0: int, known: bool) -> np.ndarray:
+    def solve(inputs: np.ndarray, state: np.ndarray, halo: np.ndarray, r0: int, c0: int, known: bool) -> np.ndarray:
         z = inputs[0]
         h, w = z.shape
-        level = np.full((h, w), np.inf)
-        around = halo[0]
-        heap: list[tuple[float, int, int]] = []
-        dry = np.pad(np.isnan(z), 1)
-        for r in range(h):
-            for c in range(w):
-                if np.isnan(z[r, c]):
-                    continue
-                best = np.inf
-                if r + r0 in (0, height - 1) or c + c0 in (0, width - 1) or dry[r : r + 3, c : c + 3].any():
-                    best = z[r, c]
-                if r in (0, h - 1) or c in (0, w - 1):
-                    for dr, dc in NEIGHBOURS:
-                        y = around[r + 1 + dr, c + 1 + dc]
-                        if not np.isnan(y):
-                            best = min(best, max(y, z[r, c]))
-                        elif not (0 <= r + dr < h and 0 <= c + dc < w) and known and 0 <= r + r0 + dr < height and 0 <= c + c0 + dc < width:
-                            best = z[r, c]  # no data across the border
-                if best < np.inf:
+        some = ~np.isnan(z)
+        if not known:  # from the edge of the grid and from holes in the tile
+            dry = np.pad(~some, 1)
+            seed = np.zeros((h, w), bool)
+            for dr, dc in NEIGHBOURS:
+                seed |= dry[1 + dr : h + 1 + dr, 1 + dc : w + 1 + dc]
+            rows, cols = np.arange(h)[:, None] + r0, np.arange(w) + c0
+            seed |= (rows == 0) | (rows == height - 1) | (cols == 0) | (cols == width - 1)
+            seed &= some
+            level = np.where(seed, z, np.inf)
+            heap = [(float(z[r, c]), int(r), int(c)) for r, c in zip(*np.nonzero(seed))]
+        else:  # levels only fall: go on from those at hand, where the neighbours' borders allow lower ones
+            level, heap = np.where(some, state[0], np.inf), []
+            border = np.zeros((h, w), bool)
+            border[[0, -1]] = border[:, [0, -1]] = True
+            for r, c in zip(*(x.tolist() for x in np.nonzero(border & some))):
+                best = level[r, c]
+                for dr, dc in NEIGHBOURS:
+                    if 0 <= r + dr < h and 0 <= c + dc < w:
+                        continue
+                    y = halo[0, r + 1 + dr, c + 1 + dc]
+                    if not np.isnan(y):
+                        best = min(best, max(y, z[r, c]))
+                    elif 0 <= r + r0 + dr < height and 0 <= c + c0 + dc < width:
+                        best = z[r, c]  # no data across the border
+                if best < level[r, c]:
                     level[r, c] = best
-                    heap.append((best, r, c))
+                    heap.append((float(best), r, c))
         heapq.heapify(heap)
         while heap:
             y, r, c = heapq.heappop(heap)
@@ -58,10 +65,10 @@ def fill_depressions(cells: DataFrame, grid: Grid, size: int = 512) -> DataFrame
         return np.where(np.isnan(z), np.nan, level)[None]
 
     def first(inputs, state, halo, r0, c0):
-        return solve(inputs, halo, r0, c0, False)
+        return solve(inputs, state, halo, r0, c0, False)
 
     def later(inputs, state, halo, r0, c0):
-        return solve(inputs, halo, r0, c0, True)
+        return solve(inputs, state, halo, r0, c0, True)
 
     return fixpoint(cells, grid, ["value"], ["value"], first, later, size)
 
