@@ -1,13 +1,14 @@
 """Language-model scoring with a hidden Markov model over words.
 
-The vocabulary has the most frequent words of the whole corpus as symbols of their own; each other word is one of 16 symbols
+Every word that the whole corpus has at least ``min_count`` times is a symbol of its own; each rarer word is one of 16 symbols
 by its length, times the probability of its spelling (character pairs, counted over all words), so every text has a
-probability. Baum-Welch: each task runs forward and backward over the texts of its partition, all texts in step, and emits
+probability. The number of symbols has no limit and grows with the corpus. Baum-Welch: each task runs forward and backward over the texts of its partition, all texts in step, and emits
 expected counts; they are summed by symbol in a shuffle with partial sums, and make the next model. Scores are exact: the
 scaled forward recursion sums over all paths of states, over the whole text.
 
-What moves: word counts of the corpus once (they grow with its vocabulary), then per iteration symbols x states numbers a
-partition. The texts are encoded once, two bytes a word, and written to the checkpoint folder.
+What moves: word counts of the corpus once (they grow with its vocabulary), then per iteration the partition's own symbols x
+states numbers a partition. The texts are encoded once, four bytes a word, and written to the checkpoint folder. The driver
+and each Python worker hold the model, symbols x states of 4 bytes, and the hashes of the words.
 """
 
 from __future__ import annotations
@@ -32,11 +33,12 @@ _CODE_POINTS = 0x110000
 
 @dataclass(frozen=True)
 class HmmConfig:
-    """states: latent states. vocabulary: frequent words with a symbol of their own, at most 65,000. iterations: of Baum-Welch, each over the
-    whole corpus. emission_prior, transition_prior: pseudo-counts."""
+    """states: latent states. min_count: words seen so often have a symbol of their own. vocabulary: None, or at most so many of them, the
+    most frequent. iterations: of Baum-Welch, each over the whole corpus. emission_prior, transition_prior: pseudo-counts."""
 
     states: int = 6
-    vocabulary: int = 24_000
+    min_count: int = 2
+    vocabulary: int | None = None
     iterations: int = 3
     emission_prior: float = 0.1
     transition_prior: float = 1.0
@@ -68,7 +70,7 @@ class Lexicon:
         beyond = lengths - LENGTHS
         spelling = spelling + np.where(beyond >= 0, beyond * self.longer + math.log1p(-math.exp(self.longer)), 0)
         symbol = np.where(known, at, len(self.hashes) + np.minimum(lengths, LENGTHS) - 1)
-        return symbol.astype(np.uint16), np.where(known, 0.0, spelling), offsets
+        return symbol.astype(np.uint32), np.where(known, 0.0, spelling), offsets
 
 
 def _corpus_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,11 +104,14 @@ def _corpus_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def build_lexicon(docs: DataFrame, config: HmmConfig = HmmConfig()) -> Lexicon:
-    """From the counts of all words of all documents. Ties of frequency go to the lesser hash."""
-    if not 0 <= config.vocabulary <= 65_000:
-        raise ValueError("vocabulary must be 0 to 65,000")
+    """From the counts of all words of all documents. Under a limited vocabulary, ties of frequency go to the lesser hash."""
+    if config.min_count < 1 or config.vocabulary is not None and config.vocabulary < 0:
+        raise ValueError("min_count must be at least 1, vocabulary at least 0 or None")
     counts = cut(docs.select("text").mapInArrow(_corpus_counts, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    top = counts.where("kind = 0").orderBy(F.desc("n"), "key").limit(config.vocabulary).select("key").toArrow()
+    words = counts.where((F.col("kind") == 0) & (F.col("n") >= config.min_count))
+    if config.vocabulary is not None:
+        words = words.orderBy(F.desc("n"), "key").limit(config.vocabulary)
+    known = words.select("key").toArrow()
     rest = counts.where("kind > 0").toArrow()
     kind, key, n = (rest[c].to_numpy() for c in ("kind", "key", "n"))
     pairs = np.zeros(SYMBOLS * SYMBOLS)
@@ -121,7 +126,7 @@ def build_lexicon(docs: DataFrame, config: HmmConfig = HmmConfig()) -> Lexicon:
     spell[:, 0] = 0  # never looked up within a word
     more = dict(zip(key[kind == 2].tolist(), n[kind == 2].tolist()))
     longer = math.log((more.get(1, 0) + 1) / (more.get(0, 0) + more.get(1, 0) + 2))
-    return Lexicon(np.sort(top["key"].to_numpy().view(np.uint64)), spell, longer)
+    return Lexicon(np.sort(known["key"].to_numpy().view(np.uint64)), spell, longer)
 
 
 def first_model(lexicon: Lexicon, config: HmmConfig) -> Hmm:
@@ -242,40 +247,38 @@ def _encode(lexicon_broadcast):
 
 def _sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     blobs = column.to_pylist()
-    return np.frombuffer(b"".join(blobs), np.uint16).astype(np.int64), np.concatenate([[0], np.cumsum([len(b) // 2 for b in blobs])])
+    return np.frombuffer(b"".join(blobs), np.uint32).astype(np.int64), np.concatenate([[0], np.cumsum([len(b) // 4 for b in blobs])])
 
 
 def _expect(model_broadcast):
-    """Rows (symbol, one column per state): emissions at symbols >= 0, moves from state s at -1 - s, starts at -100,001, and at -100,002 the
-    log likelihood."""
+    """Rows (symbol, one column per state), to be summed by symbol: emissions at symbols >= 0, moves from state s at -1 - s, starts at
+    -100,001, and at -100,002 the log likelihood. Of the symbols only those at hand are counted and given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Hmm = model_broadcast.value
         k = model.emit.shape[1]
-        total, held, size = None, [], 0
-
-        def add() -> None:
-            nonlocal total
-            got = expected_counts(model, *_sequences(pa.concat_arrays(held)))
-            total = got if total is None else tuple(x + y for x, y in zip(total, got))
+        v, held, size = len(model.emit), [], 0
+
+        def counted() -> pa.RecordBatch:
+            symbols, offsets = _sequences(pa.concat_arrays(held))
+            seen = np.flatnonzero(np.bincount(symbols, minlength=v))
+            place = np.zeros(v, np.int64)
+            place[seen] = np.arange(len(seen))
+            emissions, moves, starts, loglik = expected_counts(Hmm(model.start, model.move, model.emit[seen]), place[symbols], offsets)
+            last = np.zeros((1, k))
+            last[0, 0] = loglik
+            rows = np.concatenate([emissions, moves, starts[None], last])
+            symbol = np.concatenate([seen, -1 - np.arange(k), [-100_001, -100_002]])
+            return pa.RecordBatch.from_arrays([pa.array(symbol, pa.int64()), *(pa.array(rows[:, s]) for s in range(k))], names=["symbol", *(f"s{s}" for s in range(k))])
 
         for (symbols,) in columns_of(batches, "symbols"):
             held.append(symbols)
-            size += symbols.nbytes // 2
+            size += symbols.nbytes // 4
             if size > 8 * STEP_WORDS:
-                add()
+                yield counted()
                 held, size = [], 0
         if held:
-            add()
-        if total is None:
-            return
-        emissions, moves, starts, loglik = total
-        seen = np.flatnonzero(emissions.any(1))
-        last = np.zeros((1, k))
-        last[0, 0] = loglik
-        rows = np.concatenate([emissions[seen], moves, starts[None], last])
-        symbol = np.concatenate([seen, -1 - np.arange(k), [-100_001, -100_002]])
-        yield pa.RecordBatch.from_arrays([pa.array(symbol, pa.int32()), *(pa.array(rows[:, s]) for s in range(k))], names=["symbol", *(f"s{s}" for s in range(k))])
+            yield counted()
 
     return run
 
@@ -288,7 +291,7 @@ def train(encoded: DataFrame, lexicon: Lexicon, config: HmmConfig = HmmConfig())
     columns = [f"s{s}" for s in range(k)]
     for _ in range(config.iterations):
         shared = encoded.sparkSession.sparkContext.broadcast(model)
-        counts = encoded.select("symbols").mapInArrow(_expect(shared), ", ".join(["symbol int", *(f"{c} double" for c in columns)]))
+        counts = encoded.select("symbols").mapInArrow(_expect(shared), ", ".join(["symbol long", *(f"{c} double" for c in columns)]))
         got = counts.groupBy("symbol").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
         symbol, rows = got["symbol"].to_numpy(), np.stack([got[c].to_numpy() for c in columns], 1) if got.num_rows else np.zeros((0, k))
         emissions, moves, starts = np.zeros((lexicon.size, k)), np.zeros((k, k)), np.zeros(k)

@@ -208,6 +208,19 @@ def test_training_raises_the_likelihood_and_scores_are_normalised(spark, docs):
     assert np.allclose(shared.sum(1), 1, atol=1e-6)
 
 
+def test_every_word_seen_twice_is_a_symbol_however_many_there_are(spark):
+    """More words than 16 bits can name: the symbols grow with the corpus."""
+    n = 70_000
+    d = spark.range(2 * n // 100).select(F.col("id").alias("doc_id"), F.expr(f"concat_ws(' ', transform(sequence(0, 99), j -> concat('w', (id * 100 + j) % {n})), concat('once', id))").alias("text"))
+    config = hmm.HmmConfig(states=2, iterations=1)
+    lexicon = hmm.build_lexicon(d, config)
+    assert len(lexicon.hashes) == n
+    symbols, spelling, _ = lexicon.encode([" ".join(f"w{i}" for i in range(n)) + " once1"])
+    assert len(set(symbols[:n].tolist())) == n and symbols[n] == n + 4 and not spelling[:n].any() and spelling[n] < 0
+    got = hmm.score_documents(d, config).agg(F.count("*"), F.sum("n_words"), F.min("cross_entropy")).first()
+    assert got[0] == 2 * n // 100 and got[1] == 2 * n + 2 * n // 100 and got[2] > math.log(n) - 1
+
+
 # 5
 
 
