@@ -29,10 +29,11 @@ BROADCAST_ROWS = 500_000
 @dataclass(frozen=True)
 class MixConfig:
     """weights: by source, a number of at least 0; a source that isn't in it gets none. None: the square root of its tokens.
-    budget: share of all blocks that is granted at most. Tokens are runs of other characters than blank, tab and line ends."""
+    budget: share of all blocks that is granted at most; sources whose supply is spent leave their part to the others, so the weights are
+    met only if the supply of each is enough. None: as many blocks as the weights allow, see ``largest_fair``. Tokens are runs of other characters than blank, tab and line ends."""
 
     weights: tuple[tuple[str | None, float], ...] | None = None
-    budget: float = 0.9
+    budget: float | None = 0.9
     block_tokens: int = 8192
     shard_tokens: int = 1 << 24
     seed: int = 11
@@ -79,6 +80,24 @@ def sainte_lague(weights: Mapping[Hashable, float], available: Mapping[Hashable,
     return {k: seats.get(k, 0) for k in weights}
 
 
+def largest_fair(weights: Mapping[Hashable, float], available: Mapping[Hashable, int]) -> int:
+    """The largest total at which no source would be granted more than it has: the place in the ranking of all quotients before the first
+    one beyond a source's supply."""
+    live = {k: w for k, w in weights.items() if w > 0 and available.get(k, 0) > 0}
+    if not live:
+        return 0
+    first = min((-w / (2 * available[k] + 1), k) for k, w in live.items())
+    total = 0
+    for key, w in live.items():
+        k = max(0, min(available[key], int((w / -first[0] + 1) / 2)))
+        while k < available[key] and (-w / (2 * k + 1), key) < first:
+            k += 1
+        while k and (-w / (2 * k - 1), key) >= first:
+            k -= 1
+        total += k
+    return total
+
+
 def _marked(docs: DataFrame, seed: int) -> tuple[Column, Column, Column]:
     """(source key, luck, tokens) of a row. The key of source x is "s" + x, of null "n"."""
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
@@ -93,8 +112,8 @@ def _shard(luck: Column, shards: Column) -> Column:
 def block_quotas(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """(key, shard, blocks, quota, cutoff, shards): of each source and shard the blocks it has, those granted, and the greatest luck of
     a selected document (null if there is none)."""
-    if config.block_tokens < 1 or config.shard_tokens < 1 or not 0 <= config.budget <= 1:
-        raise ValueError("block_tokens and shard_tokens must be at least 1, budget 0 to 1")
+    if config.block_tokens < 1 or config.shard_tokens < 1 or config.budget is not None and not 0 <= config.budget <= 1:
+        raise ValueError("block_tokens and shard_tokens must be at least 1, budget 0 to 1 or None")
     spark, b = docs.sparkSession, config.block_tokens
     key, luck, tokens = _marked(docs, config.seed)
     rows = cut(docs.select(key.alias("key"), luck.alias("luck"), tokens.alias("tokens")))
@@ -114,7 +133,8 @@ def block_quotas(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     else:
         given = {"n" if k is None else f"s{k}": w for k, w in config.weights}
         weights = {k: given.get(k, 0.0) for k in by_source}
-    seats = sainte_lague(weights, available, int(config.budget * sum(available.values())))
+    total = largest_fair(weights, available) if config.budget is None else int(config.budget * sum(available.values()))
+    seats = sainte_lague(weights, available, total)
     quota = [(k, s, x[s], q) for k, x in of_source.items() for s, q in sainte_lague({s: float(n) for s, n in x.items()}, x, seats[k]).items()]
     quotas = spark.createDataFrame(quota, "key string, shard long, blocks long, quota long")
     chosen = placed.join(small(quotas, BROADCAST_ROWS), ["key", "shard"])
@@ -145,7 +165,7 @@ def mix_sources(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
 
 
 def mix_sql(config: MixConfig = MixConfig()) -> str:
-    """The same by ranking all quotients; for the default weights."""
+    """The same by ranking all quotients; for the default weights and a budget that isn't None."""
     return f"""
 WITH marked AS (
   SELECT *, coalesce('s' || source, 'n') AS key, md5('{config.seed}:' || coalesce(CAST(doc_id AS VARCHAR), text, '')) AS luck,

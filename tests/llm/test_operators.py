@@ -247,6 +247,30 @@ def test_target_weights_are_met(spark):
     assert set(got) == {"x", "y"} and abs(got["x"] - 1200) <= 20 and abs(got["y"] - 1200) <= 20
 
 
+def test_largest_fair_total_is_where_the_ranking_passes_a_supply():
+    rng = random.Random(6)
+    for _ in range(80):
+        n = rng.randint(1, 6)
+        weights = {i: rng.choice([0, 1, 1, 2, 3.5, rng.random()]) for i in range(n)}
+        available = {i: rng.randint(0, 9) for i in range(n)}
+        live = [i for i in range(n) if weights[i] and available[i]]
+        quotients = sorted((-weights[i] / (2 * k + 1), i, k) for i in live for k in range(20))
+        assert mixing.largest_fair(weights, available) == next((at for at, (_, i, k) in enumerate(quotients) if k >= available[i]), 0)
+
+
+def test_weights_of_the_query_are_met_with_a_hot_source(spark, tmp_path):
+    """op5_mix_to_weights, in its own configuration, on 19 equal sources beside one that has half of all tokens."""
+    words = " ".join(["w"] * 1024)
+    d = spark.range(38 * 80).select(F.col("id").alias("doc_id"), F.lit(words).alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.floor(F.col("id") / 2) % 19).cast("string"))).alias("source"), F.lit(2047).cast("long").alias("n_chars"))
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["source"]: r["count"] for r in registry.queries()["op5_mix_to_weights"](spark, str(tmp_path)).groupBy("source").count().collect()}
+    target = math.sqrt(19) / (math.sqrt(19) + 19)
+    assert len(got) == 20 and got["hot"] / sum(got.values()) == pytest.approx(target, abs=0.02)
+    assert all(n / sum(got.values()) == pytest.approx((1 - target) / 19, abs=0.01) for s, n in got.items() if s != "hot")
+    plain = {r["source"]: r["count"] for r in registry.queries()["op5_mix_sources"](spark, str(tmp_path)).groupBy("source").count().collect()}
+    assert plain["hot"] / sum(plain.values()) > 2 * target  # why it is a query of its own
+
+
 # 6
 
 
