@@ -19,10 +19,17 @@ FREQUENT_ROWS, AFFECTED_ROWS, AFFECTED_POSITIONS = 500_000, 100_000, 2_000_000
 
 @dataclass(frozen=True)
 class LineConfig:
-    """max_documents: a line stays if at most so many documents have it. min_chars: shorter normalised lines always stay."""
+    """max_documents: a line stays if at most so many documents have it. min_chars: shorter normalised lines always stay.
+    max_documents_long: None, or the limit for lines of more than ``long_words`` blank-separated words."""
 
     max_documents: int = 20
     min_chars: int = 1
+    max_documents_long: int | None = None
+    long_words: int = 50
+
+
+#: Passages of over 50 words go as soon as two documents have them.
+PASSAGES = LineConfig(max_documents_long=1)
 
 
 def _lines() -> Column:
@@ -30,19 +37,27 @@ def _lines() -> Column:
 
 
 def _hashes(config: LineConfig) -> Column:
-    """Of each line the hash of its normal form (lower case, runs of blanks as one, none at the ends), null for lines that stay."""
+    """Of each line the hash of its normal form (lower case, runs of blanks as one, none at the ends), null for lines that stay. Where
+    long lines have a limit of their own, the last bit says whether the line is long."""
 
     def one(line: Column) -> Column:
         normal = F.lower(F.trim(F.regexp_replace(line, "[ \\t\\r]+", " ")))
-        return F.when(F.length(normal) >= max(1, config.min_chars), F.xxhash64(normal))
+        key = F.xxhash64(normal)
+        if config.max_documents_long is not None:
+            long = F.length(normal) - F.length(F.replace(normal, F.lit(" "), F.lit(""))) >= config.long_words
+            key = key.bitwiseAND(F.lit(-2)).bitwiseOR(long.cast("long"))
+        return F.when(F.length(normal) >= max(1, config.min_chars), key)
 
     return F.transform(_lines(), one)
 
 
 def frequent_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
-    """(line_hash, documents) of the lines in more than ``max_documents`` documents."""
+    """(line_hash, documents) of the lines in more documents than their limit."""
     hashes = docs.select(F.explode(F.array_compact(F.array_distinct(_hashes(config)))).alias("line_hash"))
-    return hashes.groupBy("line_hash").agg(F.count("*").alias("documents")).where(F.col("documents") > config.max_documents)
+    limit = F.lit(config.max_documents)
+    if config.max_documents_long is not None:
+        limit = F.when(F.col("line_hash").bitwiseAND(F.lit(1)) == 1, config.max_documents_long).otherwise(limit)
+    return hashes.groupBy("line_hash").agg(F.count("*").alias("documents")).where(F.col("documents") > limit)
 
 
 def drop_frequent_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
@@ -51,8 +66,8 @@ def drop_frequent_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> D
     docs needs doc_id and text. Every row is a document: a repeated row counts again. A line that occurs twice in a document
     counts once, and both go. Blank lines always stay. A null text stays null with 0 lines; an empty text is one blank line. A
     text all of whose lines go becomes empty. Other columns pass through (n_chars too, as it was), but existing columns n_lines
-    and n_dropped are replaced. A document that loses nothing keeps its text byte for byte. Ties (exactly ``max_documents``)
-    stay.
+    and n_dropped are replaced. A document that loses nothing keeps its text byte for byte. Ties (exactly as many
+    documents as the limit) stay.
     """
     docs = tidy(docs, ["doc_id", "text"])
     docs = docs.select([c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")])
@@ -77,11 +92,14 @@ def drop_frequent_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> D
 
 
 def line_sql(config: LineConfig = LineConfig()) -> str:
+    limit = f"{config.max_documents}"
+    if config.max_documents_long is not None:
+        limit = f"CASE WHEN len(string_split(norm, ' ')) > {config.long_words} THEN {config.max_documents_long} ELSE {limit} END"
     return f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL
 ), normal AS (SELECT *, lower(trim(regexp_replace(line, '[ \\t\\r]+', ' ', 'g'))) AS norm FROM lines),
-frequent AS (SELECT norm FROM normal WHERE length(norm) >= {max(1, config.min_chars)} GROUP BY norm HAVING count(DISTINCT doc_id) > {config.max_documents}),
+frequent AS (SELECT norm FROM normal WHERE length(norm) >= {max(1, config.min_chars)} GROUP BY norm HAVING count(DISTINCT doc_id) > {limit}),
 marked AS (SELECT n.*, f.norm IS NOT NULL AS gone FROM normal n LEFT JOIN frequent f ON n.norm = f.norm)
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped
 FROM marked GROUP BY doc_id

@@ -18,6 +18,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_frequent_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op2_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2_line_dedup that also drops passages of over 50 words from 2 to 20 documents."""
+    return linededup.drop_frequent_lines(table(spark, sf_dir, "documents"), linededup.PASSAGES).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = languageid.identify_languages(table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "lang", "predicted_lang", "cross_entropy", "margin", "n_scored", "accepted")
@@ -59,8 +64,8 @@ def op10_matroska_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_language_id, op4_lm_scoring, op5_mix_sources, op5_mix_to_weights, op6_exact_dedup, op7_quality_classifier, op8_sharding, op9_ngram_jaccard_join, op10_matroska_packets)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op2_passage_dedup, op3_language_id, op4_lm_scoring, op5_mix_sources, op5_mix_to_weights, op6_exact_dedup, op7_quality_classifier, op8_sharding, op9_ngram_jaccard_join, op10_matroska_packets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": linededup.line_sql(), "op5_mix_sources": mixing.mix_sql(), "op6_exact_dedup": exactdedup.DEDUP_SQL, "op9_ngram_jaccard_join": neardup.pairs_sql(), "op10_matroska_packets": matroska.MOVIE_SQL}
+    return {"op2_line_dedup": linededup.line_sql(), "op2_passage_dedup": linededup.line_sql(linededup.PASSAGES), "op5_mix_sources": mixing.mix_sql(), "op6_exact_dedup": exactdedup.DEDUP_SQL, "op9_ngram_jaccard_join": neardup.pairs_sql(), "op10_matroska_packets": matroska.MOVIE_SQL}

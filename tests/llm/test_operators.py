@@ -91,6 +91,15 @@ def test_lines_need_more_than_the_limit(spark):
     assert got[3] == "shared line\nshared line"  # a tie stays
 
 
+def test_passages_of_two_documents_go(spark, tmp_path):
+    """Over 50 words: planted in 2 documents, also in other case and spacing. 50 words or fewer stay up to 20 documents."""
+    long, short = " ".join(f"w{i}" for i in range(51)), " ".join(f"v{i}" for i in range(50))
+    rows = [(1, f"own 1\n{long}"), (2, f"{long.upper().replace(' ', '  ')} \nown 2"), (3, f"own 3\n{short}"), (4, f"{short}\nown 4"), (5, f"x {long}")]
+    spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["text"] for r in registry.queries()["op2_passage_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {**dict(rows), 1: "own 1", 2: "own 2"}
+
+
 # 3
 
 
