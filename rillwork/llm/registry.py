@@ -63,8 +63,14 @@ def op10_matroska_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets.select("doc_id", "track", "packet", "timestamp_ns", "size", "md5", "cued")
 
 
+def op10_packet_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole packet table: op10_matroska_packets with byte ranges, lacing, codecs, durations, key frames and errors."""
+    movies = matroska.with_text_movies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return matroska.packet_table(movies.select("doc_id", "media"), digest=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op2_passage_dedup, op3_language_id, op4_lm_scoring, op5_mix_sources, op5_mix_to_weights, op6_exact_dedup, op7_quality_classifier, op8_sharding, op9_ngram_jaccard_join, op10_matroska_packets)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op2_passage_dedup, op3_language_id, op4_lm_scoring, op5_mix_sources, op5_mix_to_weights, op6_exact_dedup, op7_quality_classifier, op8_sharding, op9_ngram_jaccard_join, op10_matroska_packets, op10_packet_ranges)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -465,6 +465,49 @@ def test_movie_round_trip_and_faults():
     assert matroska.parse(b"RIFF....").error == "no EBML header"
 
 
+def brute_packets(data, text):
+    """Clusters are found by their bytes; the frames, known from the text, fill the ends of their blocks."""
+    import re
+
+    def vint(i):
+        n = 9 - data[i].bit_length()
+        return int.from_bytes(data[i : i + n], "big") - (1 << 7 * n), i + n
+
+    lines = [x.encode() for x in text.split("\n")]
+    payloads, seen, out = {1: lines, 2: [b"%08d" % len(x) for x in lines]}, {1: 0, 2: 0}, []
+    for cluster in (m.start() for m in re.finditer(re.escape(b"\x1f\x43\xb6\x75"), data)):
+        n, i = vint(cluster + 4)
+        stop = i + n
+        while i < stop:
+            kind, (n, i) = data[i], vint(i + 1)
+            end = i + n
+            if kind in (0xA0, 0xA3):
+                n, body = vint(i + 1) if kind == 0xA0 else (n, i)
+                track, flags = data[body] & 0x7F, data[body + 3]
+                frames = payloads[track][seen[track] :][: data[body + 4] + 1 if flags & 6 else 1]
+                at = body + n - sum(map(len, frames))
+                for k, x in enumerate(frames):
+                    assert data[at : at + len(x)] == x
+                    out.append((track, seen[track], k, "S_TEXT/UTF8" if track == 1 else "S_TEXT/ASCII", seen[track] * 10**9, 10**9, kind == 0xA0 or flags & 0x80 > 0, cluster, at, len(x), None))
+                    seen[track], at = seen[track] + 1, at + len(x)
+            i = end
+    assert seen == {1: len(lines), 2: len(lines)}
+    return sorted(out)
+
+
+def test_query_returns_the_whole_packet_table(spark, docs):
+    columns = ["track", "packet", "lace", "codec", "timestamp_ns", "duration_ns", "keyframe", "cluster_offset", "offset", "size", "error"]
+    got, of = registry.queries()["op10_packet_ranges"](spark, SF), {}
+    assert got.columns == ["doc_id", *(x.split()[0] for x in matroska._PACKETS.split(", "))]
+    for r in got.collect():
+        of.setdefault(r["doc_id"], []).append(tuple(r[c] for c in columns))
+    for d in docs.where("text IS NOT NULL").collect():
+        assert sorted(of.pop(d["doc_id"])) == brute_packets(matroska.text_movie(d["text"]), d["text"])
+    assert not of
+    plain = registry.queries()["op10_matroska_packets"](spark, SF)
+    assert sorted(map(repr, got.select(plain.columns).collect())) == sorted(map(repr, plain.collect()))
+
+
 def test_unknown_sizes_and_groups():
     cluster = matroska.CLUSTER.to_bytes(4, "big") + b"\x01" + b"\xff" * 7
     group = matroska.element(matroska.GROUP, matroska.element(matroska.BLOCK, matroska.block_content(3, 10, [b"x"], 0)) + matroska.number(matroska.DURATION, 40) + matroska.element(matroska.REFERENCE, b"\xff"))
