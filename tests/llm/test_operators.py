@@ -377,7 +377,7 @@ def brute_pairs(texts, n, theta):
     return {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= theta * len(sets[a] | sets[b]) - 1e-9}
 
 
-@pytest.mark.parametrize("config", [neardup.JaccardConfig(n=1, theta=0.4, frequent=(0.02,)), neardup.JaccardConfig(n=2, theta=0.55, frequent=(0.01, 0.2)), neardup.JaccardConfig(n=1, theta=0.8, frequent=(0.05,), combine_up_to=12), neardup.JaccardConfig(n=3, theta=1.0)])
+@pytest.mark.parametrize("config", [neardup.JaccardConfig(n=1, theta=0.4, frequent=(3,)), neardup.JaccardConfig(n=2, theta=0.55, frequent=(1, 30)), neardup.JaccardConfig(n=1, theta=0.8, frequent=(0,)), neardup.JaccardConfig(n=1, theta=0.2, frequent=(0, 20)), neardup.JaccardConfig(n=3, theta=1.0)])
 @pytest.mark.parametrize("joined", [False, True])
 def test_join_finds_all_pairs(spark, monkeypatch, config, joined):
     if joined:  # the way taken where the sets are too many to broadcast their cells
@@ -399,6 +399,55 @@ def test_join_finds_all_pairs(spark, monkeypatch, config, joined):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+@pytest.mark.parametrize("frequent", [(0,), (3,), (0, 40)])
+def test_combinations_of_sets_of_every_size(spark, frequent):
+    """Sets of 2 to 3,000 n-grams of few and many documents, with partners on both sides of theta."""
+    rng = random.Random(7)
+    texts, i = {}, 0
+    for size in (2, 5, 9, 17, 40, 90, 100, 180, 250, 300, 900, 1030, 3000):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(size + 2)]
+        for share in (0, 0, 0.05, 0.1, 0.12, 0.15, 0.3):
+            w = list(base)
+            for _ in range(round(share * size)):
+                w[rng.randrange(len(w))] = f"w{rng.randrange(10**6)}"
+            for text in (w, w[: rng.randrange(max(1, len(w) // 2), len(w) + 1)]):
+                texts[i] = " ".join(text)
+                i += 1
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    config = neardup.JaccardConfig(frequent=frequent)
+    kinds = neardup.signature_kinds(d, config)
+    assert kinds["combined"] > (0.1 if frequent == (3,) else 0.5) * sum(kinds.values())  # they are used
+    assert sum(kinds.values()) < 3 * 182 * 3000  # and in proportion to the n-grams
+    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in neardup.similar_pairs(d, config).collect()}
+    want = brute_pairs(texts, 3, 0.55)
+    assert len(want) > 200 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_similarity_of_exactly_theta_is_in(spark):
+    """11 of 20 words in common: 0.55."""
+    a, b, c = [f"a{i}" for i in range(4)], [f"b{i}" for i in range(5)], [f"c{i}" for i in range(11)]
+    rows = [(1, " ".join(c + a)), (2, " ".join(c + b)), (3, " ".join(c + b + ["more"]))]
+    got = neardup.similar_pairs(spark.createDataFrame(rows, "doc_id long, text string"), neardup.JaccardConfig(n=1)).collect()
+    assert {(r["doc_a"], r["doc_b"]) for r in got} == {(1, 2), (2, 3)} and min(r["jaccard"] for r in got) == 0.55
+
+
+def test_groups_cost_little_and_combinations_need_k_of_them():
+    for theta in (0.3, 0.55, 0.9):
+        for level in range(6):
+            least = neardup.least_overlap(math.ceil(theta * 4**level - 1e-9), theta)
+            assert neardup.group_count(level, 2, theta, 2) < max(2, least)
+    group = np.array([0, 0, 0, 2, 5, 5])
+    assert neardup.within_groups(group, 2).tolist() == [[0, 1], [1, 2], [4, 5], [0, 2]]
+    assert neardup.within_groups(group, 3).tolist() == [[0, 1, 2]] and neardup.within_groups(group[:0], 3).shape == (0, 3)
+
+
+def test_many_copies_are_paired_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CHUNK", 4)
+    d = spark.range(11).select(F.col("id").alias("doc_id"), F.lit("one text that is here many times").alias("text"))
+    got = [(r["doc_a"], r["doc_b"], r["jaccard"]) for r in neardup.similar_pairs(d).collect()]
+    assert sorted(got) == [(a, b, 1.0) for a, b in itertools.combinations(range(11), 2)]
+
+
 def test_one_of_each_group_stays(spark):
     base = [f"word{i}" for i in range(60)]
     near = lambda k: " ".join(base[:k] + ["other"] + base[k + 1 :])
