@@ -14,11 +14,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import bounded_batches, columns_of, tidy
-from .text import PIECE, code_points, mix, word_hashes
+from .text import PIECE, code_points, word_hashes
 
 _KINDS = ("Lu", "Ll", "N", "Z", "P", "S")  #: upper, other letters, numbers, blanks, punctuation, symbols; line ends and the rest come last
 STRUCTURE = ["log_chars", "upper", "letters", "numbers", "blanks", "punctuation", "symbols", "line_ends", "other", "word_length", "distinct_words", "most_common_word", "words_a_line"]
@@ -26,11 +27,12 @@ STRUCTURE = ["log_chars", "upper", "letters", "numbers", "blanks", "punctuation"
 
 @dataclass(frozen=True)
 class QualityConfig:
-    """max_labelled: bound of the training sample, chosen by a seeded hash. bits: log2 of the word features. rank: length of the vectors.
-    keep_at: least probability of good quality that is kept."""
+    """max_labelled: bound of the training sample, chosen by a seeded hash. bits: log2 of the word features; meta_bits: of those of sources,
+    and of languages. rank: length of the vectors. keep_at: least probability of good quality that is kept."""
 
     max_labelled: int = 8000
     bits: int = 17
+    meta_bits: int = 14
     rank: int = 8
     epochs: int = 8
     batch: int = 64
@@ -91,7 +93,7 @@ def structure(texts: list[str | None], words: np.ndarray, offsets: np.ndarray, m
         out[at:end, 0] = np.log1p(sizes)
         out[at:end, 1:9] = counts / n[:, None]
         lines, number = counts[:, 6] + 1, np.diff(offsets[at : end + 1])
-        out[at:end, 9] = np.minimum(counts[:, :3].sum(1) / np.maximum(number, 1), 40)
+        out[at:end, 9] = np.log1p(counts[:, :3].sum(1) / np.maximum(number, 1))
         out[at:end, 10] = distinct[at:end] / np.maximum(number, 1)
         out[at:end, 11] = most[at:end] / np.maximum(number, 1)
         out[at:end, 12] = np.log1p(number / lines)
@@ -99,18 +101,16 @@ def structure(texts: list[str | None], words: np.ndarray, offsets: np.ndarray, m
     return out
 
 
-def _text_hash(x: str) -> int:
-    h = np.zeros(1, np.uint64)
-    for c in code_points(x)[:64].tolist():
-        h = mix(h * np.uint64(31) + np.uint64(c + 1))
-    return int(h[0])
+def _meta_id(x: str | None, bits: int) -> int:
+    """0 for null, else 1 ... by a hash of the whole value."""
+    return 0 if x is None else xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) % ((1 << bits) - 1) + 1
 
 
-def features(texts: list[str | None], sources: list[str | None], langs: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def features(texts: list[str | None], sources: list[str | None], langs: list[str | None], bits: int, meta_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, values, offsets) of the word and metadata features, and the structure statistics [text, statistic].
 
-    Words share 2^bits ids and are weighted by their counts to length 1 a text; 512 ids follow for sources and languages; then one for
-    each structure statistic.
+    Words share 2^bits ids and are weighted by their counts to length 1 a text; 2^meta_bits ids follow for sources, and as many for
+    languages; then one for each structure statistic.
     """
     words, at = word_hashes(texts)
     d = 1 << bits
@@ -124,7 +124,7 @@ def features(texts: list[str | None], sources: list[str | None], langs: list[str
         x = n / np.sqrt((n.astype(float) ** 2).sum()) if len(n) else n.astype(float)
         for part, (name, value) in enumerate((("source", sources[i]), ("lang", langs[i]))):
             if (name, value) not in meta:
-                meta[name, value] = d + part * 256 + (_text_hash(value) % 255 + 1 if value is not None else 0)
+                meta[name, value] = d + (part << meta_bits) + _meta_id(value, meta_bits)
         w = np.concatenate([w, [meta["source", sources[i]], meta["lang", langs[i]]]])
         ids.append(w)
         values.append(np.concatenate([x, [0.5, 0.5]]))
@@ -146,12 +146,22 @@ def with_structure(ids: np.ndarray, values: np.ndarray, offsets: np.ndarray, den
     return out_ids, out_values, new
 
 
+def structure_base(config: QualityConfig) -> int:
+    """The first id of the structure statistics."""
+    return (1 << config.bits) + (2 << config.meta_bits)
+
+
+def scaled(dense: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """In standard deviations, far ones on a scale of logarithms: outliers don't rule, and no two values become one."""
+    return np.arcsinh((dense - mean) / scale) * 0.3
+
+
 def fit(ids: np.ndarray, values: np.ndarray, offsets: np.ndarray, dense: np.ndarray, labels: np.ndarray, config: QualityConfig) -> FactorizationMachine:
     """AdaGrad on the logistic loss; classes weigh alike. Same input, same model."""
     rng = np.random.default_rng(config.seed)
-    base = (1 << config.bits) + 512
+    base = structure_base(config)
     mean, scale = dense.mean(0), dense.std(0) + 1e-6
-    ids, values, offsets = with_structure(ids, values, offsets, np.clip((dense - mean) / scale, -4, 4) * 0.3, base)
+    ids, values, offsets = with_structure(ids, values, offsets, scaled(dense, mean, scale), base)
     n = base + dense.shape[1]
     model = FactorizationMachine(0.0, np.zeros(n), rng.normal(0, 0.02, (n, config.rank)), mean, scale)
     gw, gv, gb = np.full(n, 1e-6), np.full((n, config.rank), 1e-6), 1e-6
@@ -182,11 +192,10 @@ def fit(ids: np.ndarray, values: np.ndarray, offsets: np.ndarray, dense: np.ndar
     return model
 
 
-def predict(model: FactorizationMachine, texts: list[str | None], sources: list[str | None], langs: list[str | None], bits: int) -> np.ndarray:
+def predict(model: FactorizationMachine, texts: list[str | None], sources: list[str | None], langs: list[str | None], config: QualityConfig) -> np.ndarray:
     """Probability of good quality."""
-    ids, values, offsets, dense = features(texts, sources, langs, bits)
-    dense = np.clip((dense - model.mean) / model.scale, -4, 4) * 0.3
-    s = model.scores(*with_structure(ids, values, offsets, dense, (1 << bits) + 512))
+    ids, values, offsets, dense = features(texts, sources, langs, config.bits, config.meta_bits)
+    s = model.scores(*with_structure(ids, values, offsets, scaled(dense, model.mean, model.scale), structure_base(config)))
     return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
@@ -202,7 +211,7 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, config: QualityConfi
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, quality, text, source, lang in columns_of(batches, "doc_id", "quality", "text", "source", "lang"):
-            ids, values, offsets, dense = features(text.to_pylist(), source.to_pylist(), lang.to_pylist(), config.bits)
+            ids, values, offsets, dense = features(text.to_pylist(), source.to_pylist(), lang.to_pylist(), config.bits, config.meta_bits)
             cut = pa.array(offsets, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [doc_id.cast(pa.string()), quality, pa.ListArray.from_arrays(cut, pa.array(ids, pa.int32())), pa.ListArray.from_arrays(cut, pa.array(values, pa.float32())), pa.ListArray.from_arrays(pa.array(np.arange(len(dense) + 1) * k, pa.int32()), pa.array(dense.ravel()))],
@@ -227,7 +236,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, config: QualityConfig =
     docs needs doc_id, text, source and lang, labels doc_id and quality; other columns aren't read. A null source or language is a
     value of its own. A null or empty text has score 0 and isn't kept. Null labels and ids, and labels without a document, aren't
     trained on; without any label every score is null and every document with text is kept. A null doc_id is carried; repeated
-    rows get equal scores; an empty table has no row.
+    rows get equal scores; an empty table has no row. Texts and metadata of any length are read whole; a score of exactly keep_at is kept.
     """
     docs = bounded_batches(tidy(docs, ["doc_id", "text", "source", "lang"]))
     model = model or train_quality_model(docs, labels, config)
@@ -239,7 +248,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, config: QualityConfig =
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text, source, lang in columns_of(batches, "doc_id", "text", "source", "lang"):
             texts, sources, langs = text.to_pylist(), source.to_pylist(), lang.to_pylist()
-            p = np.concatenate([predict(shared.value, texts[a : a + 512], sources[a : a + 512], langs[a : a + 512], config.bits) for a in range(0, len(texts), 512)])
+            p = np.concatenate([predict(shared.value, texts[a : a + 512], sources[a : a + 512], langs[a : a + 512], config) for a in range(0, len(texts), 512)])
             p = np.where([bool(t) for t in texts], p, 0.0)
             yield pa.RecordBatch.from_arrays([doc_id, pa.array(p), pa.array(p >= config.keep_at)], names=["doc_id", "quality_score", "keep"])
 
