@@ -17,6 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,15 +27,13 @@ from .frames import bounded_batches, columns_of, tidy
 @dataclass(frozen=True)
 class PackConfig:
     """capacity: tokens in a sequence. separator: tokens that end each document. vocabulary: path of byte-level BPE ranks;
-    pattern: the expression that splits text before it. shard_rows: documents packed together, on average. rounds: sweeps of the local
-    search over all underfull bins, at most."""
+    pattern: the expression that splits text before it. shard_rows: documents packed together, on average."""
 
     capacity: int = 2048
     separator: int = 1
     vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     pattern: str = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     shard_rows: int = 16384
-    rounds: int = 3
     seed: int = 5
 
 
@@ -47,17 +46,27 @@ def _encoding(vocabulary: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Where no piece of the default pattern goes on: after a letter, number or sign (not an apostrophe) before a character of another kind.
+_ANEW = r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=[^\s\p{L}\p{N}'])(?=[\s\p{L}\p{N}])"
+STRETCH = 1 << 16
+
+
+@cache
+def _anew() -> tuple[regex.Pattern, regex.Pattern]:
+    return regex.compile(_ANEW), regex.compile("(?r)" + _ANEW)
+
+
 def token_count(text: str, vocabulary: str, pattern: str) -> int:
-    """Tokens of a text. A long one is encoded in stretches that end before a line end or blank, where the pattern starts anew."""
-    encode, at, n, stretch = _encoding(vocabulary, pattern).encode_ordinary, 0, 0, 1 << 16
-    while len(text) - at > stretch:
-        to = max(text.rfind(" ", at + 1, at + stretch), text.rfind("\n", at + 1, at + stretch))
-        while to > at + 1 and text[to - 1].isspace():
-            to -= 1
-        if to <= at + 1:
-            to = at + stretch
-        n += len(encode(text[at:to]))
-        at = to
+    """Tokens of a text. A long one is encoded in stretches that end where the pattern starts anew; where it doesn't for long, the
+    whole run is one stretch. Other patterns than the default must not match across such places either."""
+    encode, at, n = _encoding(vocabulary, pattern).encode_ordinary, 0, 0
+    forth, back = _anew()
+    while len(text) - at > STRETCH:
+        found = back.search(text, at + 1, at + STRETCH) or forth.search(text, at + STRETCH - 1)
+        if not found:
+            break
+        n += len(encode(text[at : found.start()]))
+        at = found.start()
     return n + len(encode(text[at:]))
 
 
@@ -91,18 +100,17 @@ class LocalSearch:
         self.sizes, self.bins, self.capacity = sizes.astype(np.int64), [list(b) for b in bins], capacity
         self.fill = np.array([int(sizes[b].sum()) for b in bins], np.int64)
         self.least = -(-int(sizes.sum()) // capacity)
+        self.exchanges = 0
         self.home = np.zeros(len(sizes), np.int64)
         for k, b in enumerate(bins):
             self.home[b] = k
         self._pair_up()
 
-    def run(self, rounds: int = 3) -> list[list[int]]:
+    def run(self) -> list[list[int]]:
         """Only as many bins as there are over the lower bound can ever be emptied, so the emptiest ones give first; then all other
-        underfull bins exchange, and the next round begins, until nothing moves or the rounds are over."""
-        for _ in range(rounds):
-            over = int((self.fill > 0).sum()) - self.least
-            if over <= 0:
-                break
+        underfull bins exchange, and the next round begins, until no bin is left over or nothing moves. Each exchange raises the sum
+        of squared fills, which has an upper bound, so it ends."""
+        while int((self.fill > 0).sum()) > self.least:
             used = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
             donors = used[np.lexsort((used, self.fill[used]))].tolist()
             moved = False
@@ -162,6 +170,7 @@ class LocalSearch:
         return best
 
     def _swap(self, a: int, b: int, given: list[int], taken: list[int]) -> None:
+        self.exchanges += 1
         for source, target, items in ((a, b, given), (b, a, taken)):
             for i in items:
                 self.bins[source].remove(i)
@@ -175,15 +184,15 @@ class LocalSearch:
         self.fill[b] += amount
 
 
-def pack_sizes(sizes: np.ndarray, capacity: int, rounds: int = 3) -> list[list[int]]:
+def pack_sizes(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Bins of item numbers for sizes of 1 to capacity."""
-    return LocalSearch(sizes, best_fit(sizes, capacity), capacity).run(rounds) if len(sizes) else []
+    return LocalSearch(sizes, best_fit(sizes, capacity), capacity).run() if len(sizes) else []
 
 
 _OUT = "doc_id long, piece long, start_token long, end_token long, shard long, bin long, bin_offset long"
 
 
-def _pack_shard(capacity: int, rounds: int):
+def _pack_shard(capacity: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("luck", "ascending"), ("doc_id", "ascending"), ("tokens", "ascending")])
         doc, n = table["doc_id"].combine_chunks(), table["tokens"].to_numpy()
@@ -199,7 +208,7 @@ def _pack_shard(capacity: int, rounds: int):
             bin_[whole] = used
             used += 1
         rest = np.flatnonzero((size > 0) & (size < capacity))
-        for b in pack_sizes(size[rest], capacity, rounds):
+        for b in pack_sizes(size[rest], capacity):
             at = 0
             for i in b:
                 bin_[rest[i]], offset[rest[i]] = used, at
@@ -246,4 +255,4 @@ def pack_documents(docs: DataFrame, config: PackConfig = PackConfig()) -> DataFr
     docs = bounded_batches(tidy(docs, ["doc_id", "text"]))
     shards = max(1, -(-docs.count() // config.shard_rows))
     counted = count_tokens(docs, config).withColumn("shard", F.pmod("luck", F.lit(shards)))
-    return counted.groupBy("shard").applyInArrow(_pack_shard(config.capacity, config.rounds), _OUT)
+    return counted.groupBy("shard").applyInArrow(_pack_shard(config.capacity), _OUT)
