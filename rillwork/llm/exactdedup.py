@@ -1,9 +1,10 @@
 """Exact deduplication against a history, with minimal perfect hashes over the history's distinct digests.
 
-Only (digest, doc_id) is shuffled, by a shard of the digest. Within each shard the history's distinct digests become a
-minimal perfect hash of cascaded bit levels; every slot holds the full 32-byte digest and the locator (doc_id) of the
-winning row. An incoming digest is looked up and compared byte for byte with its slot: a member is a repeat and goes, the
-others are grouped among themselves. Texts travel at most once, and not at all where the table of repeated digests is
+Only (digest, doc_id) is shuffled. The rows of each side are combined by digest, with partial sums before the exchange, so that
+however often a text occurs, each side has one row of it; then they meet by a shard of the digest. Within each shard the history's
+distinct digests become a minimal perfect hash of cascaded bit levels; every slot holds the full 32-byte digest and the locator
+(doc_id) of the winning row. An incoming digest is looked up and compared byte for byte with its slot: a member is a repeat and
+goes, the others are groups of their own. Texts travel at most once, and not at all where the table of repeated digests is
 small enough to broadcast (its rows are counted).
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql.window import Window
 from .frames import cut, fresh, small, tidy
 from .text import mix
 
-#: Distinct digests in one shard, on average; a shard's table takes about 60 bytes for each.
+#: Rows in one shard, of both sides, at most on average; a shard's table takes about 60 bytes for each distinct digest.
 SHARD_ROWS = 1_000_000
 BROADCAST_ROWS = 500_000
 
@@ -75,16 +76,16 @@ def _digests(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _resolve(history: pa.Table, incoming: pa.Table) -> pa.Table:
-    """Of one shard: rows of repeated history digests with their winner, and the incoming rows that aren't members."""
+    """Of one shard: the history's winners of repeated digests, and the incoming winners of repeated digests that aren't members."""
     mine, theirs = _digests(history["digest"]), _digests(incoming["digest"])
     table = PerfectHash(mine)
     locator = np.empty(len(mine), np.int64)
     locator[table.order] = np.arange(len(mine))
     slot = table.lookup(theirs)
     hits = np.zeros(len(mine), np.int64)
-    np.add.at(hits, locator[slot[slot >= 0]], 1)
+    np.add.at(hits, locator[slot[slot >= 0]], incoming["n"].to_numpy()[slot >= 0])
     repeated = np.flatnonzero(hits + history["n"].to_numpy() > 1)
-    new = np.flatnonzero(slot < 0)
+    new = np.flatnonzero((slot < 0) & (incoming["n"].to_numpy() > 1))
     a, b = history.take(pa.array(repeated)), incoming.take(pa.array(new))
     return pa.table(
         {
@@ -107,16 +108,10 @@ def repeated_digests(docs: DataFrame, is_history: Column) -> DataFrame:
     """(digest, doc_id, same, old): for each text that occurs in several rows the row that stays; ``same`` counts the rows with
     that doc_id, ``old`` says whether it is of the history."""
     keys = docs.where(F.col("text").isNotNull()).select(F.unhex(F.sha2("text", 256)).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(is_history, F.lit(False)).alias("old"), F.lit(1).cast("long").alias("same"))
-    n = docs.where(is_history).count()
-    shards = max(1, -(-n // SHARD_ROWS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shards = max(1, -(-docs.count() // SHARD_ROWS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shard = F.pmod(F.xxhash64("digest"), F.lit(shards)).alias("shard")
-    byshard = keys.select("*", shard).repartition("digest")
-    history = _winners(byshard.where("old")).select("*", shard)
-    incoming = keys.where(~F.col("old")).select("digest", "doc_id", "same", shard)
-    resolved = history.groupBy("shard").cogroup(incoming.groupBy("shard")).applyInArrow(_resolve, "digest binary, doc_id long, same long, old boolean")
-    resolved = cut(resolved)
-    new = _winners(resolved.where(~F.col("old"))).where("n > 1").select("digest", "doc_id", "same", F.lit(False).alias("old"))
-    return cut(resolved.where("old").unionByName(new))
+    history, incoming = _winners(keys.where("old")).select("*", shard), _winners(keys.where(~F.col("old"))).select("*", shard)
+    return cut(history.groupBy("shard").cogroup(incoming.groupBy("shard")).applyInArrow(_resolve, "digest binary, doc_id long, same long, old boolean"))
 
 
 def drop_exact_copies(docs: DataFrame, is_history: Column) -> DataFrame:
@@ -126,7 +121,7 @@ def drop_exact_copies(docs: DataFrame, is_history: Column) -> DataFrame:
     incoming row. Among the rows of one text, of one side, the least doc_id stays (null last); of fully tied rows (same text
     and doc_id) the one whose other columns hash least. Texts are compared as they are: no normalisation, case and blanks
     count. An empty text equals other empty texts; a null text equals nothing, so those rows all stay. A null mark or
-    doc_id counts as incoming. An empty table gives an empty table.
+    doc_id counts as incoming. An empty table gives an empty table. Of a text of any length 32 bytes travel.
     """
     docs = tidy(docs, ["doc_id", "text"])
     digest, old = fresh(docs, "__digest"), fresh(docs, "__old")
