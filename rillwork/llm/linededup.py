@@ -1,7 +1,8 @@
 """Line dedup: lines that occur in many documents are dropped from all of them.
 
-Each document's distinct normalised lines are hashed and counted by hash, in one shuffle of 8-byte values with partial counts
-before it. The frequent hashes, a small table, meet the lines again; what travels then is positions. Texts are only shuffled
+Each document's distinct normalised lines are hashed, and distinct documents are counted by hash: pairs of hash and doc_id, 16
+bytes each, are made distinct in one shuffle, which spreads even a line of all documents, and counted in a second one with partial
+counts before it. The frequent hashes, a small table, meet the lines again; what travels then is positions. Texts are only shuffled
 if the table of affected texts is too large to broadcast (its rows and positions are counted). All of it is JVM expressions.
 """
 
@@ -52,8 +53,10 @@ def _hashes(config: LineConfig) -> Column:
 
 
 def frequent_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
-    """(line_hash, documents) of the lines in more documents than their limit."""
-    hashes = docs.select(F.explode(F.array_compact(F.array_distinct(_hashes(config)))).alias("line_hash"))
+    """(line_hash, documents) of the lines in more documents than their limit. A document is a distinct doc_id, whatever rows it has; rows
+    with a null doc_id are documents of their own."""
+    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    hashes = docs.select("doc_id", own.alias("own"), F.explode(F.array_compact(F.array_distinct(_hashes(config)))).alias("line_hash")).distinct()
     limit = F.lit(config.max_documents)
     if config.max_documents_long is not None:
         limit = F.when(F.col("line_hash").bitwiseAND(F.lit(1)) == 1, config.max_documents_long).otherwise(limit)
@@ -63,8 +66,8 @@ def frequent_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFr
 def drop_frequent_lines(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
     """``docs`` without frequent lines, with the columns n_lines and n_dropped.
 
-    docs needs doc_id and text. Every row is a document: a repeated row counts again. A line that occurs twice in a document
-    counts once, and both go. Blank lines always stay. A null text stays null with 0 lines; an empty text is one blank line. A
+    docs needs doc_id and text. A document is a distinct doc_id: repeated rows count once, and all of them lose a frequent line; rows
+    with a null doc_id are documents of their own. A line that occurs twice in a document counts once, and both go. Blank lines always stay. A null text stays null with 0 lines; an empty text is one blank line. A
     text all of whose lines go becomes empty. Other columns pass through (n_chars too, as it was), but existing columns n_lines
     and n_dropped are replaced. A document that loses nothing keeps its text byte for byte. Ties (exactly as many
     documents as the limit) stay.
