@@ -3,8 +3,10 @@
 The matrix says how many rows each input partition sends to each shard. Its rows and columns have fixed sums (the partition
 sizes and the shard sizes), and it is distributed as in a uniform permutation: multivariate hypergeometric. No node holds
 it whole: it is drawn by halving the range of partitions again and again, each half by its own seed, so that a task finds its
-own row in O(shards log partitions) steps and a repeated task finds the same. A partition then permutes its rows (it deals the
-shard numbers in random order), the rows are exchanged, and each shard permutes what it got.
+own row in O(columns log partitions) compiled steps and a repeated task finds the same. A partition then permutes its rows (it deals
+the column numbers in random order), the rows are exchanged, and each column permutes what it got. A column is one shard, or, where
+there are many more shards than the exchange should have partitions, several: since the permutation of what a column got is uniform,
+cutting it into its shards keeps all arrangements equally likely.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ _NUMPY_MOST = 10**9 - 1
 
 @dataclass(frozen=True)
 class ShardConfig:
-    """shards: their number; None: enough for at most ``shard_rows`` rows in each."""
+    """shards: their number; None: enough for at most ``shard_rows`` rows in each. together: shards of one partition of the exchange at
+    most; there are as many partitions as the session sets for exchanges at least, unless there are fewer shards."""
 
     shards: int | None = None
     shard_rows: int = 8192
+    together: int = 16
     seed: int = 3
 
 
@@ -73,13 +77,16 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int
 
 
 def split(rng: np.random.Generator, sizes: np.ndarray, n: int) -> np.ndarray:
-    """How n rows, drawn from groups of these sizes without replacement, fall on the groups."""
-    out, rest = np.zeros_like(sizes), int(sizes.sum())
-    for j, size in enumerate(sizes.tolist()):
-        rest -= size
-        out[j] = hypergeometric(rng, size, rest, n)
-        n -= int(out[j])
-    return out
+    """How n rows, drawn from groups of these sizes without replacement, fall on the groups. Groups beyond numpy's range are halved."""
+    total = int(sizes.sum())
+    if total < _NUMPY_MOST:
+        return rng.multivariate_hypergeometric(sizes, n, method="marginals").astype(sizes.dtype)
+    if len(sizes) == 1:
+        return np.array([n], sizes.dtype)
+    middle = len(sizes) // 2
+    left = int(sizes[:middle].sum())
+    k = hypergeometric(rng, left, total - left, n)
+    return np.concatenate([split(rng, sizes[:middle], k), split(rng, sizes[middle:], n - k)])
 
 
 def matrix_row(partition_sizes: np.ndarray, shard_sizes: np.ndarray, i: int, seed: int) -> np.ndarray:
@@ -116,9 +123,12 @@ def shuffle_to_shards(docs: DataFrame, config: ShardConfig = ShardConfig()) -> D
     shards = config.shards if config.shards is not None else max(1, -(-total // config.shard_rows))
     if shards < 1:
         raise ValueError("there must be at least one shard")
-    targets = even_sizes(total, shards)
+    columns = max(min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-shards // config.together))
+    first = np.arange(columns + 1) * shards // columns  # of each column; shard s begins at row s q + min(s, r) of all
+    q, r = divmod(total, shards)
+    targets = np.diff(first * q + np.minimum(first, r))
     shared = docs.sparkSession.sparkContext.broadcast((sizes, targets))
-    luck, origin = fresh(docs, "__luck"), fresh(docs, "__origin")
+    luck, origin, column = fresh(docs, "__luck"), fresh(docs, "__origin"), fresh(docs, "__column")
     seed = config.seed
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,14 +143,19 @@ def shuffle_to_shards(docs: DataFrame, config: ShardConfig = ShardConfig()) -> D
             if end > n:
                 break
             extra = [pa.array(dealt[at:end]), pa.array(rng.integers(-(1 << 63), (1 << 63) - 1, b.num_rows)), pa.array((i << 33) + np.arange(at, end))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, "shard", luck, origin])
+            yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, column, luck, origin])
             at = end
         else:
             end = at
         if end != n:
             raise RuntimeError(f"partition {i} had {n} rows when counted; write the table before it is sharded")
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "shard int", f"`{luck}` long", f"`{origin}` long"])
-    exchanged = docs.mapInArrow(deal, schema).repartitionById(shards, F.col("shard")).sortWithinPartitions(luck, origin)
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return exchanged.select("*", place.alias("shard_pos")).select(*[F.col(f"`{c}`") for c in docs.columns], "shard", "shard_pos")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{column}` int", f"`{luck}` long", f"`{origin}` long"])
+    exchanged = docs.mapInArrow(deal, schema).repartitionById(columns, F.col(column)).sortWithinPartitions(luck, origin)
+    begins = F.floor(F.col(column).cast("long") * shards / columns) if columns < shards else F.col(column).cast("long")
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + begins * q + F.least(begins, F.lit(r))
+    placed = exchanged.withColumn(luck, at)
+    long_rows, at = r * (q + 1), F.col(luck)
+    shard = F.when(at < long_rows, F.floor(at / (q + 1))).otherwise(F.floor((at - long_rows) / max(q, 1)) + r)
+    pos = F.when(at < long_rows, at % (q + 1)).otherwise((at - long_rows) % max(q, 1))
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], shard.cast("int").alias("shard"), pos.cast("long").alias("shard_pos"))
