@@ -63,6 +63,74 @@ def test_long_texts_are_counted_like_short_ones():
     assert packing.token_count(" ".join(words), config.vocabulary, config.pattern) == len(whole)
 
 
+@pytest.mark.parametrize("text", ["abcdefgh1" * 20_000, "x" * 70_000, "a-b_c.d'e" * 10_000, "they'll've" * 9_000, "\u6f22\u5b57" * 40_000, "  \n x" * 20_000, "12" * 50_000 + "y"])
+def test_texts_without_blanks_are_counted_like_short_ones(text):
+    config = packing.PackConfig()
+    assert packing.token_count(text, config.vocabulary, config.pattern) == len(packing._encoding(config.vocabulary, config.pattern).encode_ordinary(text))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab1 '\n.,\u00e9s", max_size=60))
+def test_stretches_don_t_change_counts(text):
+    config = packing.PackConfig()
+    whole = len(packing._encoding(config.vocabulary, config.pattern).encode_ordinary(text))
+    before, packing.STRETCH = packing.STRETCH, 5
+    try:
+        assert packing.token_count(text, config.vocabulary, config.pattern) == whole
+    finally:
+        packing.STRETCH = before
+
+
+def fewest_bins(sizes, capacity):
+    """Brute force: each item into each bin that has room, or a new one."""
+    best = len(sizes)
+
+    def put(i, fills):
+        nonlocal best
+        if len(fills) >= best:
+            return
+        if i == len(sizes):
+            best = len(fills)
+            return
+        for k in range(len(fills)):
+            if fills[k] + sizes[i] <= capacity:
+                put(i + 1, fills[:k] + [fills[k] + sizes[i]] + fills[k + 1 :])
+        put(i + 1, [*fills, sizes[i]])
+
+    put(0, [])
+    return best
+
+
+def test_packing_against_brute_force():
+    """Few items: hardly ever a bin more than the fewest, and at the end no exchange is left or no bin is over the bound."""
+    rng, more, exchanged = np.random.default_rng(3), 0, 0
+    for _ in range(150):
+        capacity = int(rng.integers(8, 30))
+        sizes = rng.integers(1, capacity + 1, int(rng.integers(1, 10)))
+        search = packing.LocalSearch(sizes, [[i] for i in range(len(sizes))], capacity)  # the worst start
+        for got in (packing.pack_sizes(sizes, capacity), search.run()):
+            best = fewest_bins(sizes.tolist(), capacity)
+            assert sorted(itertools.chain(*got)) == list(range(len(sizes))) and best <= len(got) <= best + 1
+            more += len(got) - best
+            fills = [int(sizes[b].sum()) for b in got]
+            if len(got) > -(-int(sizes.sum()) // capacity):
+                for a, b in itertools.permutations(range(len(got)), 2):
+                    if fills[a] <= fills[b] < capacity:
+                        for k, j in ((1, 0), (1, 1), (2, 1), (1, 2)):
+                            for given, taken in itertools.product(itertools.combinations(got[a], k), itertools.combinations(got[b], j)):
+                                assert not 0 < sizes[list(given)].sum() - sizes[list(taken)].sum() <= capacity - fills[b]
+        exchanged += search.exchanges
+    assert more <= 15 and exchanged > 100
+
+
+def test_packing_of_equal_lengths(spark):
+    """Ties go by a seeded hash of doc_id and text: the same rows in other partitions give the same bins."""
+    d = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("five words of one length").alias("text"))
+    config = packing.PackConfig(capacity=20, shard_rows=50)
+    a, b = (sorted(map(tuple, packing.pack_documents(x, config).collect())) for x in (d, d.repartition(7)))
+    assert a == b and len({r[5:] for r in a if r[4] == 0}) == sum(r[4] == 0 for r in a)
+
+
 # 2, 5, 6, 9 and 10 also run against SQL
 
 
@@ -91,6 +159,25 @@ def test_lines_need_more_than_the_limit(spark):
     assert got[3] == "shared line\nshared line"  # a tie stays
 
 
+def test_repeated_ids_count_once_as_in_the_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(4)
+    rows = [(rng.randrange(12), "\n".join(rng.choices([f"line {i}" for i in range(15)] + [""], k=rng.randint(0, 6)))) for _ in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    config = linededup.LineConfig(max_documents=5)
+    d.write.parquet(f"{tmp_path}/documents")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    sql = linededup.line_sql(config)
+    frequent = {r[0] for r in con.sql(sql[: sql.index("marked AS")].rstrip().rstrip(",") + " SELECT norm FROM frequent").fetchall()}
+    assert 0 < len(frequent) < 15 and linededup.frequent_lines(d, config).count() == len(frequent)
+    want = sorted((i, "\n".join(x for x in t.split("\n") if x not in frequent)) for i, t in rows)
+    assert sorted((r["doc_id"], r["text"]) for r in linededup.drop_frequent_lines(d, config).collect()) == want
+    nameless = spark.createDataFrame([(None, "same\nown")] * 3, "doc_id long, text string")
+    assert [r["text"] for r in linededup.drop_frequent_lines(nameless, linededup.LineConfig(max_documents=2)).collect()] == [""] * 3
+
+
 def test_passages_of_two_documents_go(spark, tmp_path):
     """Over 50 words: planted in 2 documents, also in other case and spacing. 50 words or fewer stay up to 20 documents."""
     long, short = " ".join(f"w{i}" for i in range(51)), " ".join(f"v{i}" for i in range(50))
@@ -300,9 +387,55 @@ def test_history_wins(spark):
     assert sorted(r["doc_id"] for r in exactdedup.drop_exact_copies(d, exactdedup.earlier_half()).collect()) == [3, 4, 7, 8]
 
 
+def test_a_text_of_a_million_rows(spark):
+    """However often a text occurs, each side has one row of it when they meet."""
+    d = spark.range(1_000_000).select((F.col("id") + 2).alias("doc_id"), F.when(F.col("id") % 1000 == 7, F.concat(F.lit("own "), "id")).otherwise(F.lit("hot")).alias("text"))
+    kept = exactdedup.drop_exact_copies(d, exactdedup.earlier_half())
+    assert kept.where("text = 'hot'").collect() == [(2, "hot")] and kept.count() == 1001
+    sides = exactdedup._winners(d.select(F.unhex(F.sha2("text", 256)).alias("digest"), "doc_id", F.lit(1).cast("long").alias("same")))
+    assert sides.count() == 1001 and sides.agg(F.sum("n")).first()[0] == 1_000_000
+
+
 # 7
 
 
+def test_query_of_quality_by_hand(spark):
+    """Features by plain counting, scores by all pairs; sources that differ after 64 characters are two."""
+    config = quality.QualityConfig(epochs=1, bits=12, rank=3)
+    long = "https://example.org/" + "a" * 80
+    rows = [(1, "One two two THREE. 4!\nfive", long + "1", "en"), (2, "Null source here", None, None), (3, "", "s", "en"), (4, "same same", long + "2", "de"), (5, "x" * 100, long + "1", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (4, 0), (5, 1)], "doc_id long, quality int")
+    model = quality.train_quality_model(docs, labels, config)
+    assert quality._meta_id(long + "1", 14) != quality._meta_id(long + "2", 14)
+    got = {r["doc_id"]: r["quality_score"] for r in quality.classify_quality(docs, labels, config, model).collect()}
+    import unicodedata
+
+    for i, t, source, lang in rows:
+        if not t:
+            assert got[i] == 0
+            continue
+        x = {}
+        words = ["".join(g) for k, g in itertools.groupby(t.lower(), lambda c: unicodedata.category(c)[0] in "LN") if k]
+        of = {w: int(text.word_hashes([w])[0][0] >> np.uint64(64 - 12)) for w in words}
+        for w in words:
+            x[of[w]] = x.get(of[w], 0) + 1
+        most, distinct, norm = max(x.values()), len(x), math.sqrt(sum(v * v for v in x.values()))
+        x = {k: v / norm for k, v in x.items()}
+        x[4096 + quality._meta_id(source, 14)] = x[4096 + (1 << 14) + quality._meta_id(lang, 14)] = 0.5
+        kinds = [unicodedata.category(c) for c in t]
+        share = lambda f: sum(map(f, t, kinds)) / len(t)
+        lines = t.count("\n") + t.count("\r")
+        dense = [math.log1p(len(t)), share(lambda c, k: k == "Lu"), share(lambda c, k: k[0] == "L" and k != "Lu"), share(lambda c, k: k[0] == "N"), share(lambda c, k: k[0] == "Z" or c == "\t"), share(lambda c, k: k[0] == "P"), share(lambda c, k: k[0] == "S"), lines / len(t), share(lambda c, k: k[0] in "CM" and c not in "\t\n\r"), math.log1p(sum(map(len, words)) / len(words)), distinct / len(words), most / len(words), math.log1p(len(words) / (lines + 1))]
+        base = 4096 + (2 << 14)
+        for k, v in enumerate(dense):
+            x[base + k] = math.asinh((v - model.mean[k]) / model.scale[k]) * 0.3
+        s = model.bias + sum(model.weight[k] * v for k, v in x.items()) + sum(model.vector[a] @ model.vector[b] * x[a] * x[b] for a, b in itertools.combinations(x, 2))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-s)), rel=1e-6)
+    tie = quality.QualityConfig(epochs=1, bits=12, rank=3, keep_at=got[4])
+    assert {r["doc_id"] for r in quality.classify_quality(docs, labels, tie, model).where("keep").collect()} == {i for i, p in got.items() if p >= got[4]}
+
+
 def test_sum_of_squares_identity():
     rng = np.random.default_rng(0)
     m = quality.FactorizationMachine(0.3, rng.normal(size=20), rng.normal(size=(20, 4)), np.zeros(1), np.ones(1))
@@ -363,6 +496,37 @@ def test_shuffle_is_a_permutation_with_exact_sizes(spark, docs):
     assert list(again.doc_id) != list(range(n))
 
 
+def test_many_shards_in_few_partitions(spark, docs):
+    """Shards of one partition are cut from its permutation: sizes and places are exact, and each row is in each shard equally often."""
+    n = docs.count()
+    got = sharding.shuffle_to_shards(docs.repartition(3, "doc_id"), sharding.ShardConfig(shards=90))
+    assert got.rdd.getNumPartitions() == -(-90 // 16)
+    got = got.toPandas()
+    assert sorted(got.doc_id) == list(range(n)) and got.groupby("shard").size().reindex(range(90), fill_value=0).tolist() == sharding.even_sizes(n, 90).tolist()
+    assert all(sorted(part.shard_pos) == list(range(len(part))) for _, part in got.groupby("shard"))
+    few = spark.range(40, numPartitions=3)
+    at = np.zeros((40, 20))
+    for seed in range(30):
+        for r in sharding.shuffle_to_shards(few, sharding.ShardConfig(shards=20, together=5, seed=seed)).collect():
+            at[r["id"], r["shard"]] += 1
+    assert (at.sum(0) == 60).all() and at.max() <= 9 and ((at - 1.5) ** 2 / 1.5).sum() < 900  # chi-squared, 741 degrees of freedom
+    assert sharding.shuffle_to_shards(few, sharding.ShardConfig(shards=100)).select("shard").distinct().count() == 40
+
+
+def test_split_beyond_the_range_of_numpy(monkeypatch):
+    """Halved groups have the distribution of the direct draw, here of 4 groups."""
+    sizes, rng = np.array([3, 1, 2, 2]), np.random.default_rng(1)
+    monkeypatch.setattr(sharding, "_NUMPY_MOST", 5)
+    got = {}
+    for _ in range(8000):
+        x = tuple(sharding.split(rng, sizes, 4).tolist())
+        got[x] = got.get(x, 0) + 1
+    for x in itertools.product(range(4), range(2), range(3), range(3)):
+        if sum(x) == 4:
+            want = math.prod(math.comb(int(a), b) for a, b in zip(sizes, x)) / math.comb(8, 4)
+            assert abs(got.get(x, 0) / 8000 - want) < 0.02
+
+
 # 9
 
 
