@@ -283,8 +283,9 @@ def test_forward_and_counts_sum_over_all_paths(monkeypatch):
                     move[p[i - 1], a] += q / z
             if s:
                 start[p[0]] += q / z
-    for step in (1 << 20, 4):
+    for step, long in ((1 << 20, 4096), (4, 4096), (1 << 20, 0), (3, 0), (2, 2)):
         monkeypatch.setattr(hmm, "STEP_WORDS", step)
+        monkeypatch.setattr(hmm, "LONG_WORDS", long)
         assert np.allclose(hmm.log_likelihoods(m, symbols, offsets), logs, atol=1e-5)
         got = hmm.expected_counts(m, symbols, offsets)
         assert np.allclose(got[0], emit, atol=1e-5) and np.allclose(got[1], move, atol=1e-5) and np.allclose(got[2], start, atol=1e-5)
@@ -304,6 +305,73 @@ def test_training_raises_the_likelihood_and_scores_are_normalised(spark, docs):
     assert np.allclose(shared.sum(1), 1, atol=1e-6)
 
 
+def test_long_texts_in_chunks_count_like_short_ones(monkeypatch):
+    m, rng = _random_hmm(3, 4, 30), np.random.default_rng(5)
+    symbols, offsets = rng.integers(0, 30, 6000), np.array([0, 17, 17, 2900, 2901, 6000])
+    whole = hmm.log_likelihoods(m, symbols, offsets), hmm.expected_counts(m, symbols, offsets)
+    for step, long in ((1 << 20, 16), (700, 100), (50, 0)):
+        monkeypatch.setattr(hmm, "STEP_WORDS", step)
+        monkeypatch.setattr(hmm, "LONG_WORDS", long)
+        assert np.allclose(hmm.log_likelihoods(m, symbols, offsets), whole[0], rtol=1e-12)
+        got = hmm.expected_counts(m, symbols, offsets)
+        assert all(np.allclose(a, b, rtol=1e-9) for a, b in zip(got[:3], whole[1][:3])) and got[3] == pytest.approx(whole[1][3], rel=1e-12)
+
+
+def test_query_of_scores_by_hand(spark):
+    """The whole query on few texts: lexicon, spelling and Baum-Welch in plain Python, forward sums by paths of states."""
+    texts = {1: "a b a", 2: "b a ccc", 3: "", 4: None, 5: "a b ccc dd", 6: "b"}
+    config = hmm.HmmConfig(states=2, iterations=2)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in hmm.score_documents(docs, config).collect()}
+    known = sorted((int(text.word_hashes([w])[0][0]), w) for w in ("a", "b", "ccc"))  # seen twice or more
+    symbol = {w: i for i, (_, w) in enumerate(known)} | {"dd": 3 + 1}
+    lexicon = hmm.build_lexicon(docs, config)
+    assert lexicon.hashes.tolist() == [h for h, _ in known]
+    model = hmm.first_model(lexicon, config)
+    seqs = {i: [symbol[w] for w in (t or "").split()] for i, t in texts.items()}
+
+    def paths(m, s):
+        for p in itertools.product(range(2), repeat=len(s)):
+            yield p, math.prod((m.start[a] if i == 0 else m.move[p[i - 1], a]) * float(m.emit[o, a]) for i, (a, o) in enumerate(zip(p, s)))
+
+    for _ in range(2):
+        emit, move, start = np.zeros(model.emit.shape), np.zeros((2, 2)), np.zeros(2)
+        for s in seqs.values():
+            z = sum(q for _, q in paths(model, s))
+            for p, q in paths(model, s):
+                for i, (a, o) in enumerate(zip(p, s)):
+                    emit[o, a] += q / z
+                    if i:
+                        move[p[i - 1], a] += q / z
+                if s:
+                    start[p[0]] += q / z
+        emit += config.emission_prior * (emit.sum(1, keepdims=True) + 1) / (emit.sum() + len(emit))
+        model = hmm.Hmm((start + 1) / (start + 1).sum(), (move + 1) / (move + 1).sum(1, keepdims=True), emit / emit.sum(0))
+    pairs = {}
+    for w in "a b a b a ccc a b ccc dd b".split():
+        for x, y in zip("\0" + w, w):
+            pairs[ord(x), ord(y)] = pairs.get((ord(x), ord(y)), 0) + 1
+    after = lambda x: sum(n for (a, _), n in pairs.items() if a == x)
+    into = lambda y: sum(n for (_, b), n in pairs.items() if b == y)
+    share = (into(ord("d")) + 0.1) / (sum(pairs.values()) + 0.1 * (text.SYMBOLS - 1))
+    spelled = sum(math.log((pairs[x, ord("d")] + 5 * share) / (after(x) + 5)) for x in (0, ord("d")))
+    for i, s in seqs.items():
+        want = math.log(sum(q for _, q in paths(model, s))) + (spelled if i == 5 else 0)
+        assert got[i]["n_words"] == len(s) and got[i]["log_likelihood"] == pytest.approx(want, abs=1e-5)
+        assert got[i]["cross_entropy"] == (pytest.approx(-want / len(s), abs=1e-5) if s else None)
+
+
+def test_training_ends_when_the_likelihood_hardly_gains(spark, docs):
+    """The states part: far below the cross-entropy of a single state."""
+    lexicon = hmm.build_lexicon(docs)
+    encoded = docs.mapInArrow(hmm._encode(spark.sparkContext.broadcast(lexicon)), "doc_id long, symbols binary, spelling double").cache()
+    _, history = hmm.train(encoded, lexicon)
+    gains = [(b - a) / abs(b) for a, b in zip(history, history[1:])]
+    assert gains[-1] < 1e-3 <= min(gains[:-1])
+    _, one = hmm.train(encoded, lexicon, hmm.HmmConfig(states=1))
+    assert history[-1] > 0.95 * one[-1]
+
+
 def test_every_word_seen_twice_is_a_symbol_however_many_there_are(spark):
     """More words than 16 bits can name: the symbols grow with the corpus."""
     n = 70_000
