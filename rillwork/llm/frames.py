@@ -92,12 +92,22 @@ def columns_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (a local test session) a folder below the warehouse directory is taken.
+    Only where that is unset in a session on one machine, as in tests, a folder below the warehouse directory is taken; on a cluster it
+    has to be set.
     """
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master or ""
+    if not where and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return where or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, whatever file system it is on."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, so that its lineage ends there."""
     sc = df.sparkSession.sparkContext

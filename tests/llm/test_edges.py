@@ -1,5 +1,10 @@
 """Every operator and stage on nulls, empty and very long texts, ties and repeated rows, empty tables, and clashing extra columns."""
 
+import hashlib
+import itertools
+import math
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,9 +65,59 @@ OPERATORS = {
 }
 
 
+def mixed_by_hand(rows, config):
+    """Ranked quotients, then the seeded order of each source; rows of equal luck stand or fall together."""
+    groups = {}
+    for r in rows:
+        key = "n" if r[3] is None else "s" + r[3]
+        name = r[0] if r[0] is not None else r[1] if r[1] is not None else ""
+        groups.setdefault(key, []).append((hashlib.md5(f"{config.seed}:{name}".encode()).hexdigest(), len(re.findall(r"[^ \t\n\r]+", r[1] or "")), r))
+    blocks = {k: max(1, math.ceil(sum(n for _, n, _ in g) / config.block_tokens)) for k, g in groups.items()}
+    quotients = sorted((-math.sqrt(max(1, sum(n for _, n, _ in groups[k]))) / (2 * i + 1), k) for k, b in blocks.items() for i in range(b))
+    granted = [k for _, k in quotients[: int(config.budget * sum(blocks.values()))]]
+    for k, g in groups.items():
+        for luck, _, r in g:
+            if k in granted and sum(n for other, n, _ in g if other <= luck) <= granted.count(k) * config.block_tokens:
+                yield r
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_awkward_rows(docs, labels, name):
-    assert OPERATORS[name](docs, labels).count() >= 0
+    """All of the result, and where each row is one of the input, which ones."""
+    got = OPERATORS[name](docs, labels).collect()
+    some = [r for r in ROWS if r[1] is not None]
+    if name in ("line_dedup", "sharding"):
+        texts = sorted(repr((r["doc_id"], r["text"])) for r in got)
+        copies = {1, 2}  # their only line is in two documents
+        assert texts == sorted(repr((r[0], "" if name == "line_dedup" and r[0] in copies else r[1])) for r in ROWS)
+        if name == "sharding":
+            assert sorted((r["shard"], r["shard_pos"]) for r in got) == [(s, i) for s, n in enumerate((5, 4, 4)) for i in range(n)]
+    elif name in ("language", "hmm", "quality"):
+        assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in ROWS)
+        same = {"language": "cross_entropy", "hmm": "log_likelihood", "quality": "quality_score"}[name]
+        assert len({r[same] for r in got if r["doc_id"] in ((1, 2) if name != "quality" else (2,))}) == 1  # repeated rows, equal results
+        if name == "language":
+            assert {r["doc_id"]: r["n_scored"] for r in got if r["doc_id"] in (6, 9)}[6] > 1_000_000
+    elif name == "mixing":
+        want = sorted(repr(tuple(r)) for r in mixed_by_hand(ROWS, mixing.MixConfig(block_tokens=8, budget=0.7)))
+        assert sorted(repr(tuple(r)) for r in got) == want and 0 < len(want) < len(ROWS)
+    elif name == "exact":
+        assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, [*ROWS[1:2], *ROWS[3:]]))
+    elif name == "near":
+        assert [tuple(r) for r in got] == [(1, 2, 1.0)]
+    elif name == "stage_near":
+        assert sorted(repr(tuple(r)) for r in got) == sorted(repr(r) for r in ROWS if r[0] != 2)
+    elif name == "stage_language":
+        assert {r["doc_id"] for r in got} >= {1, 2, 5} and not {r["doc_id"] for r in got} & {3, 4, 7, 8} and {r["text"] for r in got} <= {r[1] for r in some}
+    elif name == "matroska":
+        sizes = sorted((str(r["doc_id"]), r["size"]) for r in got if r["track"] == 1)
+        assert sizes == sorted((str(r[0]), len(x.encode())) for r in some for x in r[1].split("\n")) and not any(r["error"] for r in got)
+        assert len(got) == 2 * len(sizes)
+    else:
+        tokens = {r["doc_id"]: r["tokens"] for r in packing.count_tokens(docs).collect()}
+        for i in {r[0] for r in ROWS if r[0] not in (2, None)}:
+            mine = sorted((r["start_token"], r["end_token"]) for r in got if r["doc_id"] == i)
+            assert mine[0][0] == 0 and mine[-1][1] == tokens[i] and all(a[1] == b[0] for a, b in itertools.pairwise(mine))
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -72,8 +127,7 @@ def test_empty_table(docs, labels, name):
 
 @pytest.mark.parametrize("name", OPERATORS)
 def test_clashing_columns(docs, labels, name):
-    small = docs.where("doc_id IS NULL OR doc_id NOT IN (6, 9)")
-    plain, extra = OPERATORS[name](small, labels), OPERATORS[name](clashing(small), labels)
+    plain, extra = OPERATORS[name](docs, labels), OPERATORS[name](clashing(docs), labels)
     shared = [c for c in plain.columns if c not in CLASH or name in ("packing", "hmm", "quality", "near", "matroska")]
     if name == "sharding":  # where a row goes depends on nothing in it, but all of them stay
         assert rows(extra.select("doc_id", "text")) == rows(plain.select("doc_id", "text"))
@@ -121,3 +175,31 @@ def test_missing_columns(docs, labels):
     for name in ("packing", "line_dedup", "language", "hmm", "mixing", "exact", "quality", "near"):
         with pytest.raises(ValueError):
             OPERATORS[name](docs.drop("text"), labels)
+
+
+def test_languages_that_fit_alike(spark):
+    """Equal cross-entropy: the language first in the alphabet."""
+    texts = [f"some words that say {w} and no more than that" for w in ("one", "two", "three", "four", "five", "six")]
+    d = spark.createDataFrame([(2 * i + k, t, lang) for i, t in enumerate(texts * 5) for k, lang in enumerate(("zz", "aa"))], "doc_id long, text string, lang string")
+    config = languageid.LanguageConfig(held_out=0.0)
+    got = {r["predicted_lang"]: r["margin"] for r in languageid.identify_languages(d, config).select("predicted_lang", "margin").distinct().collect()}
+    assert got == {"aa": 0.0}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from rillwork.llm.frames import shared_folder
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    def session(master, **conf):
+        conf = Conf({"spark.sql.warehouse.dir": "/w", **conf})
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: conf), conf=conf)
+
+    assert shared_folder(session("local[4]")) == "/w/_checkpoints" and shared_folder(session("yarn", **{"spark.checkpoint.dir": "hdfs:/c"})) == "hdfs:/c"
+    for master in ("yarn", "spark://m:7077", "local-cluster[3,2,3000]"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master))
