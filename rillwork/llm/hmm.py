@@ -31,7 +31,7 @@ from .text import PLAIN_SYMBOLS, SYMBOLS, mix, spelled_words, word_hashes, word_
 
 LENGTHS = 16
 #: Words that are run forward and backward together, and words of a text from which on it runs in chunks.
-STEP_WORDS, LONG_WORDS = 1 << 20, 4096
+STEP_WORDS, LONG_WORDS = 1 << 19, 8192
 #: Symbols of one range whose counts are summed together, and the row that holds the moves, starts and likelihood.
 RANGE, REST = 1 << 14, -1
 _CODE_POINTS = 0x110000
@@ -274,15 +274,15 @@ def _stretches(n: int) -> list[tuple[int, int]]:
     return [(a, min(n, a + STEP_WORDS)) for a in range(0, n, STEP_WORDS)]
 
 
-def _long_counts(model: Hmm, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """expected_counts of one long sequence, stretch by stretch; the moves not yet times the model's."""
-    v, k = model.emit.shape
+def _long_counts(model: Hmm, symbols: np.ndarray, emissions: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(moves not yet times the model's, starts, log likelihood) of one long sequence, stretch by stretch; its emissions are added."""
+    k = len(model.move)
     ends, total = [None], 0.0
     for a, b in _stretches(len(symbols)):
         x = stretch_forward(model, symbols[a:b], ends[-1])
         ends.append(x.alpha[-1].copy())
         total += float(np.log(x.scale).sum())
-    emissions, moves, last = np.zeros((v, k)), np.zeros((k, k)), np.ones(k)
+    moves, last = np.zeros((k, k)), np.ones(k)
     for (a, b), before in reversed(list(zip(_stretches(len(symbols)), ends))):
         if b < len(symbols) or a > 0:  # else it is still at hand
             x = stretch_forward(model, symbols[a:b], before)
@@ -293,19 +293,21 @@ def _long_counts(model: Hmm, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarra
             moves += np.outer(before, ahead[0])
         last = ahead[0] @ model.move.T
         gamma = x.alpha * beta
+        seen, place = np.unique(symbols[a:b], return_inverse=True)
         for s in range(k):
-            emissions[:, s] += np.bincount(symbols[a:b], gamma[:, s], v)
-    return emissions, moves, gamma[0], total
+            emissions[seen, s] += np.bincount(place, gamma[:, s])
+    return moves, gamma[0], total
 
 
 def _short(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(numbers of the long sequences, those of the others, the others' symbols and offsets)."""
+    """(numbers of the long sequences, those of the others, the others' symbols and offsets). The others come by length, so that those that
+    run in step end at about one time."""
     lengths = np.diff(offsets)
-    long = lengths > LONG_WORDS
-    if not long.any():
-        return np.zeros(0, np.int64), np.arange(len(lengths)), symbols, offsets
-    rest = np.flatnonzero(~long)
-    return np.flatnonzero(long), rest, symbols[np.repeat(~long, lengths)], np.concatenate([[0], np.cumsum(lengths[rest])])
+    order = np.argsort(lengths, kind="stable")
+    few = int(np.searchsorted(lengths[order], LONG_WORDS, side="right"))
+    rest, long = order[:few], order[few:]
+    at = np.concatenate([[0], np.cumsum(lengths[rest])])
+    return long, rest, symbols[np.repeat(offsets[rest] - at[:-1], lengths[rest]) + np.arange(at[-1])], at
 
 
 def log_likelihoods(model: Hmm, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -349,8 +351,8 @@ def expected_counts(model: Hmm, symbols: np.ndarray, offsets: np.ndarray) -> tup
     emissions, moves, starts_, total = np.zeros((v, k)), np.zeros((k, k)), np.zeros(k), 0.0
     long, _, short, at = _short(symbols, offsets)
     for i in long:
-        e, m, s, t = _long_counts(model, symbols[offsets[i] : offsets[i + 1]])
-        emissions, moves, starts_, total = emissions + e, moves + m, starts_ + s, total + t
+        m, s, t = _long_counts(model, symbols[offsets[i] : offsets[i + 1]], emissions)
+        moves, starts_, total = moves + m, starts_ + s, total + t
     symbols, offsets, move = short, at, model.move
     for lo, hi in _groups(offsets):
         timed, starts, _ = _by_time(symbols[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
@@ -494,11 +496,24 @@ def score_documents(docs: DataFrame, config: HmmConfig = HmmConfig()) -> DataFra
     shared = sc.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_id, symbols, spelling in columns_of(batches, "doc_id", "symbols", "spelling"):
+        held: list[tuple] = []
+        size = 0
+
+        def scored() -> pa.RecordBatch:
+            doc_id, symbols, spelling = (pa.concat_arrays(x) for x in zip(*held))
             every, offsets = _sequences(symbols)
             n = np.diff(offsets)
             total = log_likelihoods(shared.value, every, offsets) + spelling.to_numpy()
             entropy = pa.array(-total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([doc_id, pa.array(n), pa.array(total), entropy], names=["doc_id", "n_words", "log_likelihood", "cross_entropy"])
+            return pa.RecordBatch.from_arrays([doc_id, pa.array(n), pa.array(total), entropy], names=["doc_id", "n_words", "log_likelihood", "cross_entropy"])
+
+        for columns in columns_of(batches, "doc_id", "symbols", "spelling"):
+            held.append(columns)
+            size += columns[1].nbytes // 4
+            if size > 2 * STEP_WORDS:
+                yield scored()
+                held, size = [], 0
+        if held:
+            yield scored()
 
     return encoded.mapInArrow(score, "doc_id long, n_words long, log_likelihood double, cross_entropy double")
