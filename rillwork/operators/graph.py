@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's ``spark.checkpoint.dir`` and read back; below the warehouse where that is unset."""
+    """``df`` written to the session's ``spark.checkpoint.dir`` and read back; below the warehouse where that is unset on one machine. On a
+    cluster it has to be set."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not where and sc.master != "local" and not (sc.master or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(where or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint()
 

@@ -258,10 +258,19 @@ class Project:
         return vector.outlines(network.same_value_regions(catchments, self.grid, tile), self.grid)
 
     @step("dem", "segments", "catchments")
-    def river_attributes(self, dem, segments, catchments, comids=None, min_slope=1e-6):
+    def river_attributes(self, dem, segments, catchments, comids=None, polygons=None, min_slope=1e-6):
+        """COMIDs are those of the table ``comids`` (HYDROID, COMID), or of the catchment in ``polygons`` (COMID, seq, x, y; closed rings) that
+        holds a segment's centroid (of several the least; null if none does). Without either each segment is its own COMID."""
         lines = segments.select(F.col("HYDROID").alias("path_id"), "seq", "x", "y")
         slopes = vector.slope_10_85(lines, dem, self.grid).join(vector.lengths(lines), "path_id").withColumnRenamed("path_id", "HYDROID")
-        ids = self.read(comids) if comids is not None else slopes.select("HYDROID", F.col("HYDROID").cast("long").alias("COMID"))
+        if comids is not None:
+            ids = self.read(comids)
+        elif polygons is not None:
+            rings = self.read(polygons).withColumnRenamed("COMID", "ring_id")
+            points = vector.centroids(lines).withColumnRenamed("path_id", "point_id")
+            ids = vector.points_within(points, rings, self.grid.cell * 256).select(F.col("point_id").alias("HYDROID"), F.col("ring_id").cast("long").alias("COMID"))
+        else:
+            ids = slopes.select("HYDROID", F.col("HYDROID").cast("long").alias("COMID"))
         return rating.river_attributes(catchments.withColumnRenamed("value", "hydroid"), slopes, ids, self.grid.cell**2, self.grid.unit, min_slope)
 
     @step("dem", "hand", "catchments", "river_attributes", "roughness")
@@ -303,10 +312,15 @@ class Project:
             getattr(self, name)()
         return self.channel_network()
 
-    def run_inundation(self, **stage) -> DataFrame:
-        """From the datasets dem, flowline and roughness to the inundation map; ``stage`` goes to flood_stage."""
+    def run_inundation(self, comids=None, polygons=None, **stage) -> DataFrame:
+        """From the datasets dem, flowline and roughness to the inundation map; ``stage`` goes to flood_stage, ``comids`` or ``polygons`` to
+        river_attributes: a forecast is by COMID and needs one of them."""
+        if stage.get("forecast") is not None and stage.get("constant") is None and comids is None and polygons is None:
+            raise ValueError("a forecast needs the COMIDs of the segments: give comids or polygons")
         self.run_channel_extraction()
-        for name in ("hand", "segments", "catchments", "river_attributes", "src"):
+        for name in ("hand", "segments", "catchments"):
             getattr(self, name)()
+        self.river_attributes(comids=comids, polygons=polygons)
+        self.src()
         self.flood_stage(**stage)
         return self.fim()

@@ -69,10 +69,13 @@ def write_shapes(kind: int, shapes: list[list[list[tuple[float, float]]]]) -> by
 
 
 def write_attributes(names: list[str], rows: list[list]) -> bytes:
-    head = b"".join(n[:10].encode().ljust(11, b"\0") + b"N\0\0\0\0" + bytes([24, 6]) + b"\0" * 14 if all(isinstance(r[i], (int, float, type(None))) for r in rows) else n[:10].encode().ljust(11, b"\0") + b"C\0\0\0\0" + bytes([80, 0]) + b"\0" * 14 for i, n in enumerate(names))
+    widths = [max([1, *(len(str(r[i] or "").encode()) for r in rows)]) for i in range(len(names))]
+    if long := [n for n, w in zip(names, widths) if w > 254]:
+        raise ValueError(f"texts of more than 254 bytes don't fit into the format: {long}")
+    head = b"".join(n[:10].encode().ljust(11, b"\0") + b"N\0\0\0\0" + bytes([24, 6]) + b"\0" * 14 if all(isinstance(r[i], (int, float, type(None))) for r in rows) else n[:10].encode().ljust(11, b"\0") + b"C\0\0\0\0" + bytes([widths[i], 0]) + b"\0" * 14 for i, n in enumerate(names))
     number = [all(isinstance(r[i], (int, float, type(None))) for r in rows) for i in range(len(names))]
-    body = b"".join(b" " + b"".join((b"" if v is None else f"{v:.6f}".encode()).rjust(24) if number[i] else str(v or "").encode()[:80].ljust(80) for i, v in enumerate(r)) for r in rows)
-    return struct.pack("<4BIHH20x", 3, 120, 1, 1, len(rows), 32 + len(head) + 1, 1 + sum(24 if x else 80 for x in number)) + head + b"\r" + body + b"\x1a"
+    body = b"".join(b" " + b"".join((b"" if v is None else f"{v:.6f}".encode()).rjust(24) if number[i] else str(v or "").encode().ljust(widths[i]) for i, v in enumerate(r)) for r in rows)
+    return struct.pack("<4BIHH20x", 3, 120, 1, 1, len(rows), 32 + len(head) + 1, 1 + sum(24 if x else w for x, w in zip(number, widths))) + head + b"\r" + body + b"\x1a"
 
 
 def scan(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None) -> DataFrame:

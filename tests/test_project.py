@@ -123,3 +123,24 @@ def test_stream(spark, project, tmp_path):
     q.stop()
     assert seen == [project.read("fim").where("value > 0").count()]
     assert forecasts.latest(stream).isStreaming
+
+
+def test_forecast_by_true_comids(project, spark):
+    """Segments get the COMID of the catchment that holds their centroid, and a forecast of these COMIDs floods them."""
+    rings = [(c, i, x, y) for c, (low, high) in {7001: (4000.0, 4800.0), 7002: (4800.0, 6000.0)}.items() for i, (x, y) in enumerate([(900.0, low), (2000.0, low), (2000.0, high), (900.0, high), (900.0, low)])]
+    project.add("nwm", spark.createDataFrame(rings, "COMID long, seq long, x double, y double"))
+    got = project.river_attributes(polygons="nwm", path=project.folder + "/attributes")
+    assert got.count() > 0 and {r["COMID"] for r in got.collect()} <= {7001, 7002}
+    rough = spark.createDataFrame([(7001, 0.05), (7002, 0.05)], "COMID long, Roughness double")
+    src = project.src(custom={"river_attributes": got, "roughness": rough}, path=project.folder + "/src_true")
+    project.add("nwm_forecast", spark.createDataFrame([(7001, 0.4), (7002, 0.4)], "COMID long, streamflow double"))
+    stages = project.flood_stage(forecast="nwm_forecast", custom={"src": src}, path=project.folder + "/stage_true").collect()
+    assert stages and all(r["COMID"] in (7001, 7002) and r["Stage_m"] != 0 for r in stages)
+    with pytest.raises(ValueError):
+        project.run_inundation(forecast="nwm_forecast")
+
+
+def test_wide_attributes():
+    with pytest.raises(ValueError):
+        shapefile.write_attributes(["name"], [["x" * 255]])
+    assert shapefile.read_attributes(shapefile.write_attributes(["name", "n"], [["\u00fc" * 100, 1], ["b", 2]]))[1][0][0] == "\u00fc" * 100
