@@ -614,6 +614,7 @@ def brute_pairs(texts, n, theta):
 def test_join_finds_all_pairs(spark, monkeypatch, config, joined):
     if joined:  # the way taken where the sets are too many to broadcast their cells
         monkeypatch.setattr(neardup, "BROADCAST_SETS", -1)
+        monkeypatch.setattr(neardup, "TOGETHER", 2)  # and groups parted between blocks
     rng = random.Random(config.n * 100 + int(config.theta * 10))
     words = [f"w{i}" for i in range(60)]
     texts = {}
