@@ -656,6 +656,44 @@ def test_combinations_of_sets_of_every_size(spark, frequent):
     assert len(want) > 200 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def crowd_texts(rng, n, words=60, swaps=6):
+    """Near copies of one text, most of them different."""
+    base = [f"b{rng.randrange(10**6)}" for _ in range(words)]
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, swaps)):
+            w[rng.randrange(words)] = f"x{rng.randrange(10**6)}"
+        yield " ".join(w)
+
+
+def classes_by_hand(ids, pairs):
+    root, links = {i: i for i in ids}, dict.fromkeys(ids, 0)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {(i, find(i), links[i]) for i in ids}
+
+
+def test_crowds_are_connected_by_few_links(spark):
+    """n near copies have about n * n / 2 links; what connects them, and decides which stay, doesn't need so many."""
+    rng = random.Random(22)
+    texts = list(dict.fromkeys(crowd_texts(rng, 400)))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert neardup.similar_pairs(d).count() > 50 * len(texts)
+    _, linked = neardup._similar(d, neardup.JaccardConfig(), False, True)
+    assert linked.count() < 8 * len(texts)
+    want = {c for _, c, _ in classes_by_hand(range(len(texts)), brute_pairs(dict(enumerate(texts)), 3, 0.55))}
+    assert {r["doc_id"] for r in neardup.keep_one_of_similar(d).collect()} == want
+
+
 def test_similarity_of_exactly_theta_is_in(spark):
     """11 of 20 words in common: 0.55."""
     a, b, c = [f"a{i}" for i in range(4)], [f"b{i}" for i in range(5)], [f"c{i}" for i in range(11)]
