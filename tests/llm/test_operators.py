@@ -682,6 +682,35 @@ def classes_by_hand(ids, pairs):
     return {(i, find(i), links[i]) for i in ids}
 
 
+@pytest.mark.parametrize("parted", [False, True])
+@pytest.mark.parametrize("theta", [0.55, 0.75])
+def test_classes_and_links_of_crowds(spark, monkeypatch, parted, theta):
+    if parted:
+        for name, value in (("TOGETHER", 20), ("LINK_SETS", 25), ("LINK_GRAMS", 900), ("COLUMNS", 32), ("LEADERS", 2), ("BROADCAST_SETS", -1), ("CROWD", 3)):
+            monkeypatch.setattr(neardup, name, value)
+    rng = random.Random(21)
+    texts = [*crowd_texts(rng, 150), *crowd_texts(rng, 60, swaps=14), *crowd_texts(rng, 3), *(f"alone {i} and nothing else like {i * i} here {i + 7}" for i in range(20))]
+    for _ in range(40):  # chains, copies, parts of others
+        w = texts[rng.randrange(len(texts))].split()
+        texts.append(" ".join(w[: rng.randrange(len(w) // 2, len(w) + 1)]))
+    rng.shuffle(texts)
+    texts = dict(enumerate(texts))
+    texts[997], texts[998], texts[999] = None, "", " - "
+    config = neardup.JaccardConfig(theta=theta)
+    d = spark.createDataFrame([*texts.items(), (5, texts[5]), (None, texts[5])], "doc_id long, text string")
+    got = [tuple(r) for r in neardup.similarity_classes(d, config).collect()]
+    want = classes_by_hand(texts, brute_pairs({i: t for i, t in texts.items() if t}, 3, theta))
+    assert len(got) == len(texts) and set(got) == want and len({c for _, c, _ in want}) > 20
+
+
+def test_classes_of_ids_with_several_texts(spark):
+    """Each pair of ids counts once, and an id with two texts connects what is like either."""
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(4, a), (4, b), (7, a + " more"), (9, b + " more"), (9, a), (3, "nothing like them at all")]
+    got = neardup.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == {(4, 4, 2), (7, 4, 2), (9, 4, 2), (3, 3, 0)}
+
+
 def test_crowds_are_connected_by_few_links(spark):
     """n near copies have about n * n / 2 links; what connects them, and decides which stay, doesn't need so many."""
     rng = random.Random(22)
@@ -694,6 +723,13 @@ def test_crowds_are_connected_by_few_links(spark):
     assert {r["doc_id"] for r in neardup.keep_one_of_similar(d).collect()} == want
 
 
+def test_common_grams():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 900, rng.integers(1, 120))).astype(np.uint64) for _ in range(70)]
+    want = [[len(np.intersect1d(x, y)) for y in sets[30:]] for x in sets[:30]]
+    assert neardup.common_grams(sets[:30], sets[30:]).tolist() == want
+
+
 def test_similarity_of_exactly_theta_is_in(spark):
     """11 of 20 words in common: 0.55."""
     a, b, c = [f"a{i}" for i in range(4)], [f"b{i}" for i in range(5)], [f"c{i}" for i in range(11)]
