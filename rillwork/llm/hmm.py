@@ -10,8 +10,9 @@ the scaled forward recursion, in 64-bit numbers, sums over all paths of states,
 that run in step: products of their matrices of moves and emissions give each chunk its start and end.
 
 What moves: word counts of the corpus once (they grow with its vocabulary), then per iteration a partition's own symbols x
-states numbers of 4 bytes, packed. The texts are encoded once, four bytes a word, and written to the checkpoint folder. The driver
-and each Python worker hold the model, symbols x states of 4 bytes, and the hashes of the words.
+states numbers of 4 bytes, packed. Shuffle files are removed after each iteration, so the disks hold those of one. The texts are
+encoded once, four bytes a word, and written to the checkpoint folder. The driver and each Python worker hold the model,
+symbols x states of 4 bytes, and the hashes of the words.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import bounded_batches, columns_of, cut, tidy
+from .frames import bounded_batches, columns_of, cut, shuffles_removed, tidy
 from .text import PLAIN_SYMBOLS, SYMBOLS, mix, spelled_words, word_hashes, word_symbols
 
 LENGTHS = 16
@@ -117,7 +118,8 @@ def build_lexicon(docs: DataFrame, config: HmmConfig = HmmConfig()) -> Lexicon:
     """From the counts of all words of all documents. Under a limited vocabulary, ties of frequency go to the lesser hash."""
     if config.min_count < 1 or config.vocabulary is not None and config.vocabulary < 0:
         raise ValueError("min_count must be at least 1, vocabulary at least 0 or None")
-    counts = cut(docs.select("text").mapInArrow(_corpus_counts, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    with shuffles_removed(docs.sparkSession):
+        counts = cut(docs.select("text").mapInArrow(_corpus_counts, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     words = counts.where((F.col("kind") == 0) & (F.col("n") >= config.min_count))
     if config.vocabulary is not None:
         words = words.orderBy(F.desc("n"), "key").limit(config.vocabulary)
@@ -464,8 +466,10 @@ def train(encoded: DataFrame, lexicon: Lexicon, config: HmmConfig = HmmConfig())
     ranges = -(-lexicon.size // RANGE)
     while config.iterations is None or len(history) < config.iterations:
         shared = encoded.sparkSession.sparkContext.broadcast(model)
-        counts = encoded.select("symbols").mapInArrow(_expect(shared), "range int, counts binary")
-        got = counts.repartition(max(1, min(ranges, 64)), "range").mapInArrow(_sum_counts(k), "range int, counts binary").toArrow()
+        with shuffles_removed(encoded.sparkSession):
+            counts = encoded.select("symbols").mapInArrow(_expect(shared), "range int, counts binary")
+            got = counts.repartition(max(1, min(ranges, 64)), "range").mapInArrow(_sum_counts(k), "range int, counts binary").toArrow()
+        shared.destroy()  # with the driver's file, which unpersist leaves
         emissions, rest = np.zeros((ranges * RANGE, k), np.float32), np.zeros(k * k + k + 1)
         for i, x in zip(got["range"].to_pylist(), got["counts"].to_pylist()):
             if i == REST:
@@ -474,7 +478,6 @@ def train(encoded: DataFrame, lexicon: Lexicon, config: HmmConfig = HmmConfig())
                 emissions[i * RANGE : (i + 1) * RANGE] = np.frombuffer(x, np.float32).reshape(RANGE, k)
         history.append(float(rest[-1]))
         model = next_model(emissions[: lexicon.size], rest[: k * k].reshape(k, k), rest[k * k : -1], config)
-        shared.unpersist()
         if config.iterations is None and (len(history) > 1 and history[-1] - history[-2] < config.tolerance * abs(history[-1]) or history[-1] == 0):
             break
     return model, history
@@ -491,7 +494,9 @@ def score_documents(docs: DataFrame, config: HmmConfig = HmmConfig()) -> DataFra
     docs = bounded_batches(tidy(docs, ["doc_id", "text"])).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sc = docs.sparkSession.sparkContext
     lexicon = build_lexicon(docs, config)
-    encoded = cut(docs.mapInArrow(_encode(sc.broadcast(lexicon)), "doc_id long, symbols binary, spelling double"))
+    words = sc.broadcast(lexicon)
+    encoded = cut(docs.mapInArrow(_encode(words), "doc_id long, symbols binary, spelling double"))
+    words.destroy()
     model, _ = train(encoded, lexicon, config)
     shared = sc.broadcast(model)
 

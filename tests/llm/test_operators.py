@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -372,6 +373,31 @@ def test_training_ends_when_the_likelihood_hardly_gains(spark, docs):
     assert history[-1] > 0.95 * one[-1]
 
 
+def test_training_keeps_the_shuffle_files_of_one_iteration_only(spark, docs, monkeypatch):
+    """Those of the iterations before are gone from the disk when the next model is made, without help of the garbage collector."""
+    disk, made, left = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), [], []
+    shuffled = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = shuffled()
+
+    def watched(*args, next_model=hmm.next_model):
+        for _ in range(50):  # they are removed in the background
+            if not (mine := shuffled() - before):
+                break
+            time.sleep(0.1)
+        left.append(len(mine))
+        made.append(next_model(*args))
+        return made[-1]
+
+    monkeypatch.setattr(hmm, "next_model", watched)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(name)
+    scores = hmm.score_documents(docs, hmm.HmmConfig(iterations=3, states=2))
+    assert left == [0, 0, 0]
+    assert spark.conf.get(name) == kept
+    first, second = ({tuple(r) for r in scores.collect()} for _ in range(2))
+    assert first == second and len(first) == docs.distinct().count()
+
+
 def test_every_word_seen_twice_is_a_symbol_however_many_there_are(spark):
     """More words than 16 bits can name: the symbols grow with the corpus."""
     n = 70_000
