@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Edges of a graph that the driver connects by itself at most (32 MB); more are connected in rounds.
+DRIVER_EDGES = 2_000_000
+
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the session's ``spark.checkpoint.dir`` and read back; below the warehouse where that is unset on one machine. On a
@@ -67,3 +72,31 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if now == before:
             return nodes.join(e.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("label"))
         before = now
+
+
+def joined_ids(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of the edges (a, b), and for each the least id that they connect with it."""
+    ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = place[: len(a)], place[len(a) :]
+    root = np.arange(len(ids))
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != (up := root[root])).any():
+            root = up
+    return ids, ids[root]
+
+
+def least_connected(edges: DataFrame) -> DataFrame:
+    """(id, least) of the ids of the edges (a, b) that aren't the least of their component: that one. To be broadcast if it is small."""
+    spark = edges.sparkSession
+    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if edges.limit(DRIVER_EDGES + 1).count() <= DRIVER_EDGES:
+        got = edges.toArrow()
+        ids, least = joined_ids(got["a"].to_numpy(), got["b"].to_numpy())
+        other = ids != least
+        return F.broadcast(spark.createDataFrame(pa.table({"id": ids[other], "least": least[other]}), "id long, least long"))
+    ids = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    return cut(components(ids, edges).where("id <> label").select("id", F.col("label").alias("least")))

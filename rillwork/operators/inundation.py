@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import Grid
 from .graph import cut
-from .hydrology import connected
+from .hydrology import with_regions
 from .network import same_value_regions
 
 #: Stages are one row per catchment; beyond so many rows they are joined by a shuffle instead of a broadcast.
@@ -27,10 +27,10 @@ def coastal(cells: DataFrame, grid: Grid, gage: float, ocean: tuple[int, int], s
     """(row, col, value): gage - elevation in the 8-connected wet region of the ocean cell (row, col); NULL elsewhere. A dry ocean cell gives
     no water at all."""
     depth = cells.select("row", "col", F.when(F.col("value") < gage, F.lit(float(gage)) - F.col("value")).alias("value"))
-    labels = connected(depth, grid, size).where(F.col("value").isNotNull())
-    sea = labels.where((F.col("row") == ocean[0]) & (F.col("col") == ocean[1])).select("value")
-    reached = labels.join(F.broadcast(sea), "value", "left_semi").select("row", "col", F.lit(1).alias("__sea"))
-    return depth.join(reached, ["row", "col"], "left").select("row", "col", F.when(F.col("__sea") == 1, F.col("value")).alias("value"))
+    regions = with_regions(depth, grid, size)
+    sea = regions.where((F.col("row") == ocean[0]) & (F.col("col") == ocean[1])).select("region").first()
+    reached = F.lit(False) if sea is None or sea[0] is None else F.col("region") == sea[0]
+    return regions.select("row", "col", F.when(reached, F.col("value")).alias("value"))
 
 
 def compound(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -150,6 +150,49 @@ def test_regions_touch_at_corners(spark):
         assert got[0, 0] == got[1, 1] == 0 and got[0, 4] == got[0, 5] == got[1, 5] == 4 and got[3, 3] == 21 and np.nansum(~np.isnan(got)) == 6
 
 
+def test_regions_over_many_tiles_take_no_rounds(spark, monkeypatch):
+    z = np.zeros((61, 5))
+    z[::2] = 1
+    z[1::4, 4] = z[3::4, 0] = 1  # one snake over all tiles
+    z[40, 2] = 0  # cut in two
+    g, cells = raster(spark, z)
+    sc = spark.sparkContext
+    try:
+        sc.setJobGroup("snake", "")
+        got = array(hydrology.connected(cells, g, 2), g)
+        coast = array(inundation.coastal(cells.select("row", "col", (1 - F.col("value")).alias("value")), g, 0.5, (60, 0), 2), g)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("snake"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 60  # 93 tiles; three jobs a round before
+    lower = z > 0
+    lower[:40], lower[40, :2] = False, False
+    want = np.where(lower, 40 * 5 + 3, np.where(z > 0, 0, np.nan))
+    assert np.array_equal(got, want, equal_nan=True) and np.array_equal(~np.isnan(coast), lower)
+    monkeypatch.setattr(graph, "DRIVER_EDGES", 0)
+    for size in (7, 16):
+        assert np.array_equal(array(hydrology.connected(cells, g, size), g), got, equal_nan=True)
+
+
+def test_regions_are_those_of_a_plain_search(spark):
+    z = noise(23, 19, 4, 0.1)
+    z = np.where(z > 0.55, z, np.where(np.isnan(z), z, 0))
+    g, cells = raster(spark, z)
+    want = np.full(z.shape, np.nan)
+    for r, c in zip(*np.nonzero(np.nan_to_num(z) > 0)):
+        if np.isnan(want[r, c]):
+            todo, want[r, c] = [(r, c)], r * 19 + c
+            while todo:
+                i, j = todo.pop()
+                for dr, dc in NEIGHBOURS:
+                    a, b = i + dr, j + dc
+                    if 0 <= a < 23 and 0 <= b < 19 and np.isnan(want[a, b]) and z[a, b] > 0:
+                        want[a, b] = r * 19 + c
+                        todo.append((a, b))
+    for size in (1, 4, 512):
+        assert np.array_equal(array(hydrology.connected(cells, g, size), g), want, equal_nan=True)
+
+
 def test_coast(spark):
     g, cells = raster(spark, [[0, 5, 0], [0, 5, 0], [1, 5, 2], [9, 9, np.nan]])
     got = array(inundation.coastal(cells, g, 3.0, (0, 0), 2), g)
