@@ -208,6 +208,23 @@ def test_compound(spark):
     assert array(inundation.compound(a, b), g).tolist() == [[2, 3, 5, 4]]
 
 
+def test_compound_with_a_coast_over_many_tiles(spark):
+    z = np.zeros((41, 5))
+    z[1::2] = 9  # dry walls
+    z[1::4, 4] = z[3::4, 0] = 0  # with gaps at alternate ends
+    g, cells = raster(spark, z)
+    _, rain = raster(spark, np.where(np.arange(41)[:, None] % 2, 2.0, 0.25) + np.zeros(5))
+    sc = spark.sparkContext
+    try:
+        sc.setJobGroup("compound", "")
+        got = array(inundation.compound(rain, inundation.coastal(cells, g, 0.5, (0, 0), 2)), g)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("compound"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 60  # 63 tiles; three jobs a round before
+    assert np.array_equal(got, np.where(np.arange(41)[:, None] % 2, 2.0, 0.5) + np.zeros(5))
+
+
 def test_hypsometry_is_the_naive_count(spark):
     rng = np.random.default_rng(7)
     rows = [(i, None if i % 9 == 0 else float(rng.choice([0.0, 0.1, 0.3, 0.7000000000000001, rng.random() * 3])), float(rng.random()), int(i % 3)) for i in range(300)]
