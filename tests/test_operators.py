@@ -143,6 +143,41 @@ def test_fd8_is_one_flow_in_any_tiling(spark):
     assert a[d8 == 0].sum() == pytest.approx((~np.isnan(z)).sum())  # all water ends in the pits
 
 
+def test_quantiles_are_those_of_percentile(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    inf, shares = math.inf, [0.0, 0.001, 0.3, 0.5, 0.999, 1.0]
+    columns = {
+        "noise": rng.normal(size=3000).tolist() + [None] * 9,
+        "few": rng.integers(0, 4, 500).astype(float).tolist(),
+        "skew": np.exp(rng.normal(size=1000) * 60).tolist(),
+        "odd": [inf, -inf, math.nan, -0.0, 0.0, 1e308, -1e308, 5e-324, 1e-323, None, 1.0, math.nextafter(1.0, 2)] * 7,
+        "one": [3.5],
+        "two": [1.0, 2.0],
+        "none": [None],
+        "infinite": [inf, inf, 1.0, math.nan],
+    }
+    for limit in (1 << 18, 3):
+        monkeypatch.setattr(algebra, "DRIVER_VALUES", limit)
+        monkeypatch.setattr(algebra, "BINS", 16)
+        for name, x in columns.items():
+            df = spark.createDataFrame([(v,) for v in x], "value double")
+            want = df.agg(*(F.percentile("value", F.lit(p)) for p in shares)).first()
+            got = algebra.quantiles(df, "value", shares)
+            assert all(a == b or a is not None and math.isnan(a) and math.isnan(b) for a, b in zip(got, want)), (name, limit, got, want)
+    assert algebra.quantiles(spark.range(101), "id", [0.5, 0.005]) == [50.0, 0.5]
+
+
+def test_statistics_hold_no_map_of_all_values(spark):
+    g, cells = raster(spark, noise(30, 40, 2, 0.1))
+    got = algebra.statistics(cells)
+    assert "percentile" not in got._jdf.queryExecution().toString()
+    want = cells.agg(F.count("value"), F.avg("value"), F.stddev_pop("value"), F.min("value"), F.max("value"), F.percentile("value", F.lit(0.001)), F.percentile("value", F.lit(0.999))).first()
+    assert got.columns == ["n", "mean", "std", "low", "high", "p001", "p999"] and tuple(got.first()) == pytest.approx(tuple(want), rel=1e-12)
+    assert algebra.statistics(cells.where("false")).first()["p001"] is None
+    cheap = algebra.keep_cheapest(cells, 0.25)
+    assert "percentile" not in cheap._jdf.queryExecution().toString() and cheap.where("value < 100000").count() == cells.where(F.col("value") < cells.agg(F.percentile("value", F.lit(0.25))).first()[0]).count()
+
+
 def test_regions_touch_at_corners(spark):
     g, cells = raster(spark, [[1, 0, 0, 0, 1, 1], [0, 1, 0, 0, 0, 1], [0, 0, 0, 0, 0, 0], [0, 0, 0, 1, 0, 0]])
     for size in (2, 3, 64):
