@@ -938,3 +938,40 @@ def test_joins_without_broadcasts(spark, monkeypatch, name):
         assert sorted(map(repr, registry.queries()[name](spark, SF).collect())) == before
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+
+
+def test_near_duplicates_pass_candidates_on_in_lots():
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import zstandard
+
+    from rillwork.llm import neardup
+    from rillwork.llm.text import gram_sets
+
+    config = neardup.JaccardConfig()
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words[k] if rng.random() > 0.06 else f"x{rng.integers(1 << 30)}" for k in range(60)) for _ in range(60)]
+    sketch = neardup.Signer(config, np.zeros(1 << 16, np.uint8), (255,))
+    packed = list(neardup._pack(SimpleNamespace(value=sketch), SimpleNamespace(value=neardup.NO_LABELS), 1)(iter([pa.RecordBatch.from_pydict({"text": texts})])))
+
+    def met(*limits):
+        sums, most, expand = {}, 0, zstandard.ZstdDecompressor()
+        for b in neardup._meet(config, 1, *limits)(iter(packed)):
+            for blob in b["pairs"].to_pylist():
+                x = expand.decompress(blob)
+                n, m = (int(v) for v in np.frombuffer(x, np.uint32, 2))
+                lo, at = np.frombuffer(x, np.uint64, n, 8 + 8 * n), 8 + 20 * n
+                i, j, shared = (neardup._joined(x, np.uint32, m, at + 4 * m * k) for k in range(3))
+                most = max(most, m)
+                for p, q, k in zip(lo[i].tolist(), lo[j].tolist(), shared.tolist()):
+                    key = min(p, q), max(p, q)
+                    sums[key] = sums.get(key, 0) + k
+        return sums, most
+
+    whole, all_at_once = met()
+    lots, most = met(50, 20)
+    enough = lambda s: {p: min(k, neardup.ENOUGH) for p, k in s.items()}
+    assert len(whole) == all_at_once > 500 and len(list(gram_sets(texts, 3))) == 60
+    assert most < 400 and enough(lots) == enough(whole)
